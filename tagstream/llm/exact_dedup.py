@@ -156,5 +156,8 @@ def exact_groups(docs: DataFrame, keep: str = "max", index: DigestIndex | None =
 
 def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The documents that stay, with all their columns; of rows equal in id and text, one stays."""
-    groups = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    names = docs.columns
+    stay = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    keyed = docs.withColumn("_sha", F.sha2(normalise(F.col("text")).cast("binary"), 256)).withColumn("_id", F.col("doc_id"))
+    met = keyed.join(stay.select(F.struct(F.col("_id"), F.col("_sha")).alias("_key")), F.struct(keyed["_id"], keyed["_sha"]).eqNullSafe(F.col("_key")), "left_semi")
+    return met.dropDuplicates(["_id", "_sha"]).select(*names)

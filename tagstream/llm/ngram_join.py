@@ -240,9 +240,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, leader_ro
     profiles = materialize(arrow_map(docs, _profiles(k), "doc_id long, n long, class long"), "profiles")
     links = class_links(docs, profiles, k, percent, leader_rounds, block_tokens)
     found = connected_components(links)
-    labelled = profiles.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
-    names = labelled.where("class is not null").groupBy("label").agg(F.min("doc_id").alias("first_id"))
-    return labelled.join(names, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # ids meet by class first, then by component, so that no step gathers the documents of a large group
+    classes = profiles.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    labelled = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
+    names = labelled.groupBy("label").agg(F.min("least").alias("first_id"))
+    named = labelled.join(names, "label").select("class", "first_id")
+    return profiles.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def class_links(docs: DataFrame, profiles: DataFrame, k: int, percent: int, leader_rounds: int, block_tokens: int) -> DataFrame:

@@ -5,22 +5,82 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagstream.llm import exact_dedup, ngram_join
+from tagstream.llm import decontam, exact_dedup, langid, ngram_join, packing, quality
+from tagstream.llm.common import third
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs.where(third() != 1), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", (third() == 1).alias("held_out"), "score", "predicted")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir), k=4, percent=85)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), length=1024)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(third() != 1))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (third() == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
 
+OP2_SQL = r"""
+WITH lowered AS (
+  SELECT 'd' AS kind, CAST(row_number() OVER () AS VARCHAR) AS k, doc_id, text FROM documents
+  UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), NULL, text FROM benchmark),
+split AS (SELECT kind, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+item_windows AS (
+  SELECT DISTINCT k AS item, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT k, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM split WHERE kind = 'i' AND len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+hits AS (
+  SELECT d.k, d.i, d.n, x.item FROM (
+    SELECT k, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+    FROM (SELECT s.k, s.w, l.n, unnest(range(1, len(s.w) - l.n + 2)) AS i FROM split s, lengths l WHERE s.kind = 'd' AND len(s.w) >= l.n)) d
+  JOIN item_windows x ON x.n = d.n AND x.win = d.win),
+hit_words AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hits) GROUP BY k),
+hit_items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k)
+SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, h.k IS NOT NULL AS contaminated
+FROM split s LEFT JOIN hit_words h ON h.k = s.k LEFT JOIN hit_items i ON i.k = s.k WHERE s.kind = 'd'
+"""
+
+OP4_SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS r FROM split UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT s.doc_id, coalesce(z.n, 0) AS n_shingles, min(r.r) AS component_id
+FROM split s JOIN reach r ON r.a = s.doc_id LEFT JOIN sizes z ON z.doc_id = s.doc_id GROUP BY 1, 2
+"""
+
 OP10_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -29,10 +89,16 @@ FROM n JOIN g USING (t)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_decontamination": op2_decontamination,
     "op4_ngram_join": op4_ngram_join,
+    "op5_packing": op5_packing,
+    "op8_langid": op8_langid,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op4_ngram_join": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
