@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,6 +74,21 @@ def require(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def bounded_sample(rows: DataFrame, group: str, per_group: int, key: str) -> DataFrame:
+    """Up to `per_group` rows of each group, those with the least hashes of `key`, and their rank.
+
+    Groups are counted first, so that about twice as many rows as wanted are shuffled, however large the
+    group; the rank decides exactly. Where so few hashes are under the cut that a group would be short,
+    which the margin makes all but impossible, the group is a little smaller.
+    """
+    spread = 1 << 30
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_group + 100) / F.col("_n"))
+    cuts = rows.groupBy(group).agg(F.count("*").alias("_n")).select(F.col(group).alias("_group"), (share * spread).alias("_cut"))
+    near = rows.join(cuts, rows[group] == F.col("_group")).where(F.pmod(F.xxhash64(key), F.lit(spread)) < F.col("_cut")).select(*rows.columns)
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key), key, *[c for c in rows.columns if c not in (group, key)])
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_group)
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """Lower-case A-Z, split at ASCII white space: word offsets per text, and the words.
 

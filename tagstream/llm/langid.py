@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import materialize, mix64, require, slices
+from tagstream.llm.common import bounded_sample, materialize, mix64, require, slices
 
 #: Hashed dimensions, and the n-gram lengths in bytes of the lower-cased text.
 DIMENSIONS, LENGTHS = 1 << 14, (1, 2, 3)
@@ -142,9 +142,7 @@ def fit(labelled: DataFrame, per_lang: int = 300, clusters: int = 4, margin: flo
     centroids and a few bounds for each language.
     """
     rows = require(labelled, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    # row_number under a bound keeps no more than `per_lang` rows of a language and task before the shuffle
-    sample = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
+    sample = bounded_sample(rows, "lang", per_lang, "doc_id")
     vectors = materialize(sample.select("lang", "text").mapInArrow(_vectors, "lang string, slots array<int>, values array<float>"), "vectors")
     total = vectors.count()
     if not total:

@@ -24,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import materialize, require, slices
+from tagstream.llm.common import bounded_sample, materialize, require, slices
 
 
 @dataclass(frozen=True)
@@ -102,12 +102,12 @@ def dictionary(texts: list[str], size: int) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, dictionary_bytes: int = 65_536, level: int = 3) -> QualityModel:
     """Learn from the rows of `docs` (doc_id, text) that `labels` (doc_id, quality) marks 0 or 1.
 
-    The sample stays in the shared folder; two dictionaries and three numbers a sampled row reach the driver.
+    Labels are sampled before they meet texts: 2 * per_class of them at most are broadcast, so no text is
+    shuffled. Two dictionaries and three numbers a sampled row reach the driver.
     """
-    rows = require(docs, "doc_id", "text").join(require(labels, "doc_id", "quality").where("quality in (0, 1)"), "doc_id")
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    sample = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class)
-    sample = materialize(sample.select("text", F.col("quality").cast("int").alias("quality"), "rank"), "labelled")
+    known = require(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    picked = materialize(bounded_sample(known, "quality", per_class, "doc_id"), "picked")
+    sample = materialize(require(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality", "rank"), "labelled")
     n = {r["quality"]: r["count"] for r in sample.groupBy("quality").count().collect()}
     share = n.get(1, 0) / sum(n.values()) if n else 0.5
     if min(n.get(0, 0), n.get(1, 0)) < 4:
