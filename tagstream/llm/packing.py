@@ -42,26 +42,28 @@ class ByteBpe:
     The same vocabulary as ranks encodes several times faster; texts it can't take go to the tokenizer.
     """
 
-    def __init__(self, name: str = "byte_bpe_50k"):
+    def __init__(self, name: str = "byte_bpe_50k", fast_only: bool = False):
+        """`fast_only` is for vocabularies that come as ranks alone; these have no special strings."""
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.slow = None if fast_only else Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}
-        added = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
-        self.added, self.size = set(added), max(*ranks.values(), *added.values()) + 1
+        added = {} if fast_only else {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+        self.added, self.size = set(added), max([*ranks.values(), *added.values()]) + 1
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         self.ends = np.zeros(self.size, bool)
         for token, i in ranks.items():
             self.ends[i] = token.endswith(ENDS)
 
     def encode(self, text: str) -> np.ndarray:
-        if len(text) < 1_000_000:
+        if len(text) < 1_000_000 or self.slow is None:
             try:
                 return np.array(self.fast.encode(text, allowed_special=self.added, disallowed_special=()), np.uint32)
             except (ValueError, KeyError):
-                pass
+                if self.slow is None:
+                    raise
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -74,25 +76,29 @@ def best_cuts(candidates: list[int], penalties: list[float], length: int) -> lis
 
     candidates: strictly increasing, at most `length` apart.
     """
-    first = candidates[0]
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
-    at = {first: 0}
+    at = np.array(candidates)
+    targets, sources = [], []  # cuts that lie a power of two behind another
+    for power in (1 << k for k in range(length.bit_length()) if 1 << k < length):
+        k = np.minimum(np.searchsorted(at, at - power), len(at) - 1)
+        hit = np.flatnonzero(at[k] == at - power)
+        targets.append(hit)
+        sources.append(k[hit])
+    target, source_of = np.concatenate(targets), np.concatenate(sources)
+    order = np.argsort(target, kind="stable")
+    edges = np.searchsorted(target[order], np.arange(len(at) + 1)).tolist()
+    source_of = source_of[order].tolist()
     cost, back = [0.0], [0]
-    queue: deque[tuple[float, int, int]] = deque([(float(first), first, 0)])  # f(i) + i, i, index
+    queue: deque[tuple[float, int, int]] = deque([(float(candidates[0]), candidates[0], 0)])  # f(i) + i, i, index
     for j in range(1, len(candidates)):
         c = candidates[j]
         while queue[0][1] < c - length:
             queue.popleft()
-        value, _, i = queue[0]
-        best, source = value + length - c, i
-        if queue[0][1] == c - length:
-            best = value - queue[0][1]
-        for p in powers:
-            k = at.get(c - p)
-            if k is not None and cost[k] < best:
+        value, _, source = queue[0]
+        best = value + length - c
+        for k in source_of[edges[j] : edges[j + 1]]:
+            if cost[k] < best:
                 best, source = cost[k], k
         best += penalties[j]
-        at[c] = j
         cost.append(best)
         back.append(source)
         key = best + c
