@@ -94,11 +94,11 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 
     Null texts have no words. Works in Arrow's C++ kernels; only distinct words reach Python.
     """
-    raw = pc.fill_null(texts.cast(pa.large_string()), "")
+    # a cast slice keeps its place in the whole, which the kernels below don't heed: copied, it starts at 0
+    raw = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
     parts = pc.ascii_split_whitespace(pc.ascii_lower(raw))
     flat = parts.flatten()
-    offsets = np.asarray(parts.offsets, dtype=np.int64)
-    offsets = offsets - offsets[0]
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(parts)).astype(np.int64))])
     full = np.asarray(pc.greater(pc.binary_length(flat), 0)) if len(flat) else np.zeros(0, bool)
     if not full.all():
         kept = np.concatenate([[0], np.cumsum(full)])
