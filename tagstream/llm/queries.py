@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagstream.llm import decontam, exact_dedup, langid, ngram_join, packing, quality
-from tagstream.llm.common import third
+from tagstream.llm import decontam, exact_dedup, kneser_ney, langid, line_dedup, ngram_join, packing, passages, quality, token_ledger
+from tagstream.llm.common import third, work_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = quality.fit(docs.where(third() != 1), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality.fit(docs.where(third() != 1), spark.read.parquet(f"{sf_dir}/labels.parquet").where(third() != 1))
     return quality.score(docs, model).select("doc_id", (third() == 1).alias("held_out"), "score", "predicted")
 
 
@@ -26,6 +26,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir), k=5, least_words=50, percent=80, hashes=6)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir), k=4, percent=85)
 
@@ -35,6 +39,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come under one tokenizer version, and are revised to have a second one beside it."""
+    docs = documents(spark, sf_dir)
+    versions = {name: (lambda name=name: packing.ByteBpe(name, fast_only=True).encode) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    ledger = token_ledger.Ledger(spark, work_path(spark, "ledger"))
+    counts = token_ledger.count_tokens(docs, versions)
+    ledger.commit("load", token_ledger.insert(counts))
+    ledger.commit("load", token_ledger.insert(counts))  # a replay changes nothing
+    ledger.compact()
+    return ledger.rollup()
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = kneser_ney.train_model(docs.where(third(modulus=7) != 2), min_count=2)
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", (third(modulus=7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(third() != 1))
@@ -42,6 +65,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (third() == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeated_chunks(documents(spark, sf_dir).select("doc_id", "text"), window=2, divisor=3)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -81,6 +109,19 @@ SELECT s.doc_id, coalesce(z.n, 0) AS n_shingles, min(r.r) AS component_id
 FROM split s JOIN reach r ON r.a = s.doc_id LEFT JOIN sizes z ON z.doc_id = s.doc_id GROUP BY 1, 2
 """
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM d),
+h AS (SELECT *, CAST(concat('0x', substr(md5(line), 1, 7)) AS BIGINT) AS h FROM l),
+b AS (SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY r ORDER BY i), 0)) % 3 = 0 AS ends FROM h),
+c AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+chunks AS (SELECT r, doc_id, k, min(i) AS place, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY r, doc_id, k),
+ranked AS (SELECT *, lines >= 2 AND length(chunk) >= 20 AND row_number() OVER (PARTITION BY chunk, lines >= 2 ORDER BY doc_id, r, place) > 1 AS gone FROM chunks),
+out AS (SELECT r, CAST(sum(lines) AS BIGINT) AS n_lines, CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS n_removed, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '') AS clean FROM ranked GROUP BY r)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(clean) END AS clean_sha256
+FROM d LEFT JOIN out USING (r)
+"""
+
 OP10_SQL = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -91,14 +132,19 @@ FROM n JOIN g USING (t)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
+    "op3_passages": op3_passages,
     "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
+    "op6_token_counts": op6_token_counts,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_langid": op8_langid,
+    "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op4_ngram_join": OP4_SQL,
+    "op9_line_dedup": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
