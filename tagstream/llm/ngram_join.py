@@ -11,11 +11,12 @@ A document's set holds the distinct k-word shingles of its text. Two sets link w
    first. Shingles of one set alone only lower the bounds. Partners share a shingle of their prefixes.
 4. Leaders: sets with the same min-hash are compared with the one of them that has the fewest
    shingles of its own. Links that are found merge their components.
-5. Prefix trees: for each prefix shingle whose sets aren't yet in one component, the ordered sets go
-   into a path-compressed trie. A set walks it once, sharing the overlap of common paths; a subtree is
-   left as soon as the shingles missed on its path, or the length that remains, rule a link out, or
-   when all its sets have been reached already. Groups over `block_tokens` are dealt over pairs of
-   blocks, so that a task holds at most two blocks; no pair of blocks is left out.
+5. Prefix trees: sets that share a prefix shingle whose sets aren't yet in one component go, ordered, into a
+   path-compressed trie. A set walks it once, sharing the overlap of common paths; a subtree is left as
+   soon as the shingles missed on its path, or the length that remains, rule a link out, or when all its
+   sets have been reached already. Sets that chains of shared shingles connect are one unit of work, if
+   they hold `block_tokens` shingles at most; else a shingle's sets are one, and where they hold more, they
+   are dealt over pairs of blocks, so that a task holds at most two blocks. No pair of blocks is left out.
 
 Defined results: null and empty texts, and texts without words, have the empty set and link with
 nothing; rows with a null doc_id are compared like others and never name a component unless it has
@@ -290,9 +291,18 @@ def class_links(docs: DataFrame, profiles: DataFrame, k: int, percent: int, lead
     # 5. prefix trees over what isn't in one component yet
     prefix = paths.select("class", "component", F.size("path").alias("size"), F.explode(F.slice("path", F.lit(1), (spare + 1 - F.col("own")).cast("int"))).alias("token"))
     prefix = materialize(prefix, "prefix")
-    mixed = prefix.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.sum("size") / block_tokens).cast("int").alias("blocks")).where("least <> most").select("token", "blocks")
-    dealt = prefix.select("class", "token").join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    units = dealt.select("class", "token", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("blocks = 1 or other <> block").select("class", "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    work = units.join(paths, "class").select("token", "i", "j", "class", "component", "n", "own", "path")
-    tree = work.groupBy("token", "i", "j").applyInArrow(_join_unit(percent), "a long, b long")
+    mixed = prefix.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("class").alias("hub"), F.ceil(F.sum("size") / block_tokens).cast("int").alias("blocks")).where("least <> most").select("token", "hub", "blocks")
+    rows = materialize(prefix.select("class", "size", "token").join(mixed, "token"), "mixed")
+    # sets that chains of shared prefix shingles connect meet in one unit, each once, where they fit in one
+    near = connected_components(rows.select(F.col("class").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "class").withColumnRenamed("component", "cluster")
+    members = rows.select("class", "size").distinct().join(near, "class")
+    weights = members.groupBy("cluster").agg(F.sum("size").alias("weight"))
+    placed = materialize(members.join(weights, "cluster").select("class", "cluster", (F.col("weight") <= block_tokens).alias("fits")), "placed")
+    whole = placed.where("fits").select("class", F.col("cluster").alias("unit"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    # larger ones meet by shingle, and where that is too large by pairs of blocks
+    dealt = rows.join(placed.where("not fits").select("class"), "class", "left_semi").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    pairs = dealt.select("class", "token", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("blocks = 1 or other <> block")
+    units = whole.union(pairs.select("class", F.col("token").alias("unit"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    work = units.join(paths, "class").select("unit", "i", "j", "class", "component", "n", "own", "path")
+    tree = work.groupBy("unit", "i", "j").applyInArrow(_join_unit(percent), "a long, b long")
     return found.union(tree)
