@@ -26,6 +26,10 @@ from tagstream.llm.common import ascii_lower, materialize, require, work_path
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)}
 
 
+#: What repeats is broadcast as this many buckets at most, to leave the rest where it is.
+BUCKETS = 1 << 20
+
+
 def normalise(text: Column) -> Column:
     """Lower-case A-Z; null is the empty text."""
     return ascii_lower(F.coalesce(text, F.lit("")))
@@ -133,9 +137,11 @@ def exact_groups(docs: DataFrame, keep: str = "max", index: DigestIndex | None =
     level1 = index.compact()
     norm = docs.select("doc_id", normalise(F.col("text")).alias("norm")).withColumn("digest", index.digest(F.col("norm")))
 
-    # hits: texts whose digest other rows have too; a partition reduces its own copies before the shuffle
-    shared = level1.where("group_size > 1").select("digest")
-    hits = norm.join(shared, "digest", "left_semi")
+    # hits: texts whose digest other rows have too, by buckets of digests that are broadcast; a partition reduces
+    # its own copies to two texts a digest before the shuffle, so a large group of copies is no hot key
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS))
+    shared = F.broadcast(level1.where("group_size > 1").select(bucket.alias("bucket")).distinct())  # at most BUCKETS rows
+    hits = norm.withColumn("bucket", bucket).join(shared, "bucket", "left_semi")
     extremes = hits.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     verified = materialize(extremes.select("digest", (F.col("least") == F.col("most")).alias("same"), F.sha2("most", 256).alias("sha")), "verified")
     clashes = verified.where(~F.col("same")).select("digest")
