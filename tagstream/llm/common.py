@@ -6,6 +6,7 @@ makes the same rows, so nothing depends on arrival order.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Returns free memory to the system, where the C library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -134,7 +138,26 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def release() -> None:
+    """Give memory that a finished task's arrays took back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that releases memory when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with bounded text bytes each, so that long texts don't pile up."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     start, total = 0, 0
@@ -158,7 +181,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import materialize, require, slices
+from tagstream.llm.common import materialize, require, slices, tidy
 
 #: A-Z lower-cased; every byte that can't be in a word is a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -136,7 +136,7 @@ def _scan(docs: DataFrame, found: dict[str, set]) -> DataFrame:
                     items.append(sorted(own))
                 yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["row_id", "n_words", "ranges", "spans", "items"])
 
-    return docs.mapInArrow(f, "row_id long, n_words long, ranges array<long>, spans array<long>, items array<string>")
+    return docs.mapInArrow(tidy(f), "row_id long, n_words long, ranges array<long>, spans array<long>, items array<string>")
 
 
 def merge_pairs(c: Column) -> Column:
@@ -190,5 +190,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, blo
 
     schema, at = docs.schema, docs.columns.index("text")
     for found in blocks(benchmark, size, block_chars):
-        docs = docs.mapInArrow(clean(found, at), schema)
+        docs = docs.mapInArrow(tidy(clean(found, at)), schema)
     return docs

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import local_path, materialize, require, slices, split_words, word_hashes, work_path
+from tagstream.llm.common import local_path, materialize, require, slices, split_words, tidy, word_hashes, work_path
 
 #: No word holds white space, so this names the end; and numbers of the class of rare words and of the start.
 END = xxhash.xxh3_64_intdigest(b"\n")
@@ -209,7 +209,7 @@ def count_words(train: DataFrame, root: str, parts: int, min_count: int) -> list
         save(f"{root}/mass-{p}.npy", np.cumsum(np.where(often, c, 0)) - np.where(often, c, 0))
         return pa.table({"part": pa.array([p], pa.int32()), "types": [len(h)], "tokens": [int(c.sum())], "frequent": [int(often.sum())], "mass": [int(c[often].sum())], "texts": [int(c[h == np.uint64(END)].sum())]})
 
-    rows = train.select("text").mapInArrow(reduce_texts, "part int, hashes binary, counts binary")
+    rows = train.select("text").mapInArrow(tidy(reduce_texts), "part int, hashes binary, counts binary")
     return rows.groupBy("part").applyInArrow(merge, "part int, types long, tokens long, frequent long, mass long, texts long").collect()  # six numbers a range
 
 
@@ -273,7 +273,7 @@ def count_pairs(train: DataFrame, model: Model) -> Model:
         types = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["span", "kind", "ids", "columns", "n"])
 
-    rows = train.mapInArrow(reduce_texts, "part int, keys binary, counts binary")
+    rows = train.mapInArrow(tidy(reduce_texts), "part int, keys binary, counts binary")
     stats = materialize(rows.groupBy("part").applyInArrow(merge, "span long, kind string, ids binary, columns array<binary>, n array<long>"), "kn-stats")
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
@@ -354,7 +354,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             n = per(np.ones(len(logs), np.int64))
             yield pa.record_batch([batch.column(0), pa.array(n), pa.array(per((count > 0).astype(np.int64))), pa.array(np.full(len(n), m.tokens)), pa.array(per(np.log10((count + 1) / base))), pa.array(per(logs))], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return require(docs, "doc_id", "text").mapInArrow(f, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return require(docs, "doc_id", "text").mapInArrow(tidy(f), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import bounded_sample, materialize, mix64, require, slices
+from tagstream.llm.common import bounded_sample, materialize, mix64, require, slices, tidy
 
 #: Hashed dimensions, and the n-gram lengths in bytes of the lower-cased text.
 DIMENSIONS, LENGTHS = 1 << 14, (1, 2, 3)
@@ -143,7 +143,7 @@ def fit(labelled: DataFrame, per_lang: int = 300, clusters: int = 4, margin: flo
     """
     rows = require(labelled, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     sample = bounded_sample(rows, "lang", per_lang, "doc_id")
-    vectors = materialize(sample.select("lang", "text").mapInArrow(_vectors, "lang string, slots array<int>, values array<float>"), "vectors")
+    vectors = materialize(sample.select("lang", "text").mapInArrow(tidy(_vectors), "lang string, slots array<int>, values array<float>"), "vectors")
     total = vectors.count()
     if not total:
         return None
@@ -183,4 +183,4 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], names=names)
 
     schema = docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_rejected": F.lit(False)}).schema
-    return docs.withColumn("_has_letter", has_letter(F.col("text"))).mapInArrow(f, schema)
+    return docs.withColumn("_has_letter", has_letter(F.col("text"))).mapInArrow(tidy(f), schema)

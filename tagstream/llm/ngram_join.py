@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import arrow_map, connected_components, materialize, require, shingle_hashes, split_words, word_hashes
+from tagstream.llm.common import arrow_map, connected_components, materialize, release, require, shingle_hashes, split_words, word_hashes
 
 #: Ids of documents that survive the first filter are broadcast as this many buckets at most.
 BUCKETS = 1 << 20
@@ -227,6 +227,8 @@ def _join_unit(percent: int) -> Callable[[pa.Table], pa.Table]:
         paths = [[names[i] for i in inverse[a:b]] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         col = lambda c: table.column(c).to_pylist()
         links = trie_links(col("class"), col("component"), col("n"), col("own"), paths, percent)
+        del paths, flat, inverse, lists
+        release()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return f

@@ -21,6 +21,7 @@ library does by default. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -30,12 +31,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tagstream.llm.common import require, slices
+from tagstream.llm.common import require, slices, tidy
 
 #: What ends a sentence, at the end of a token.
 ENDS = (b".", b"!", b"?", b"\n", "。".encode(), "！".encode(), "？".encode())
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The special strings of a tokenizer file and their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 class ByteBpe:
     """Ids of the public byte-level vocabulary, as its tokenizer file gives them.
 
@@ -46,23 +53,32 @@ class ByteBpe:
         """`fast_only` is for vocabularies that come as ranks alone; these have no special strings."""
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = None if fast_only else Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.path = None if fast_only else public_tokenizers.path(f"{name}.json")
+        self._slow = None
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}
-        added = {} if fast_only else {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+        added = {} if fast_only else added_tokens(self.path)
         self.added, self.size = set(added), max([*ranks.values(), *added.values()]) + 1
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
         self.ends = np.zeros(self.size, bool)
         for token, i in ranks.items():
             self.ends[i] = token.endswith(ENDS)
 
+    @property
+    def slow(self):
+        """The tokenizer itself, read when a text needs it."""
+        if self._slow is None and self.path is not None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def encode(self, text: str) -> np.ndarray:
-        if len(text) < 1_000_000 or self.slow is None:
+        if len(text) < 1_000_000 or self.path is None:
             try:
                 return np.array(self.fast.encode(text, allowed_special=self.added, disallowed_special=()), np.uint32)
             except (ValueError, KeyError):
-                if self.slow is None:
+                if self.path is None:
                     raise
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -209,4 +225,4 @@ def pack(docs: DataFrame, length: int = 1024, tokenizer: Callable[[], ByteBpe] =
         if rows:
             yield table()
 
-    return require(docs, "doc_id", "text").mapInArrow(f, ", ".join(f"{n} long" for n in NAMES))
+    return require(docs, "doc_id", "text").mapInArrow(tidy(f), ", ".join(f"{n} long" for n in NAMES))

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import bounded_sample, materialize, require, slices
+from tagstream.llm.common import bounded_sample, materialize, require, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, dictionary_by
                 x = model.features(batch.slice(a, b - a).column(0).to_pylist())
                 yield pa.record_batch([*(pa.array(x[:, i]) for i in range(3)), batch.slice(a, b - a).column(1)], names=["a", "b", "c", "quality"])
 
-    seen = sample.where("rank % 2 = 1 and text <> ''").select("text", "quality").mapInArrow(measure, "a double, b double, c double, quality int").orderBy("quality", "a", "b", "c").collect()
+    seen = sample.where("rank % 2 = 1 and text <> ''").select("text", "quality").mapInArrow(tidy(measure), "a double, b double, c double, quality int").orderBy("quality", "a", "b", "c").collect()
     x = np.array([[r["a"], r["b"], r["c"]] for r in seen]).reshape(-1, 3)
     return QualityModel(model.good, model.bad, logistic(design(x), np.array([r["quality"] for r in seen], float)) if len(seen) else (), share, level)
 
@@ -143,4 +143,4 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 s = m.scores(part.column(1).to_pylist())
                 yield pa.record_batch([part.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return require(docs, "doc_id", "text").mapInArrow(f, "doc_id long, score double, predicted int")
+    return require(docs, "doc_id", "text").mapInArrow(tidy(f), "doc_id long, score double, predicted int")

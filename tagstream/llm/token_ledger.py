@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import slices
+from tagstream.llm.common import slices, tidy
 
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = ["n_docs", "n_tokens", "n_chars"]
@@ -50,7 +50,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, Callable]) -> DataFrame:
                     counts = pa.array([len(encode(t)) if t else 0 for t in texts], pa.int64())
                     yield pa.record_batch([*(part.column(i) for i in range(3)), pa.array([name] * len(texts)), counts, chars], names=["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_chars"])
 
-    return docs.select(*columns).mapInArrow(f, "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long")
+    return docs.select(*columns).mapInArrow(tidy(f), "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long")
 
 
 def signed(counts: DataFrame, sign: int) -> DataFrame:
