@@ -205,6 +205,21 @@ def report_order(records: DataFrame) -> DataFrame:
     return records.orderBy(~F.col("is_terminal"), F.when(F.col("is_terminal"), F.col("last_seq")), "order_key")
 
 
+def paged(records: DataFrame) -> DataFrame:
+    """Orders by their last message and display id, with their place and the open and total orders up to it.
+
+    Blocks of the sequence are summed up, and orders ranked within a block, so that no task ranks all orders.
+    """
+    block = 1 << 16
+    df = records.withColumn("_b", (F.col("last_seq") / block).cast("bigint"))
+    sums = df.groupBy("_b").agg(F.count("*").alias("_n"), F.count_if(~F.col("is_terminal")).alias("_o"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_o").over(before), F.lit(0)).alias("_o"))
+    w = Window.partitionBy("_b").orderBy("last_seq", "display_id", "order_key")
+    ranked = df.withColumn("_r", F.row_number().over(w)).withColumn("_p", F.count_if(~F.col("is_terminal")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.join(sums, "_b").withColumn("place", (F.col("_n") + F.col("_r")).cast("int")).withColumn("open_so_far", F.col("_o") + F.col("_p")).drop("_b", "_n", "_o", "_r", "_p")
+
+
 def section_counts(records: DataFrame, messages: DataFrame) -> DataFrame:
     """(order_key, msg_type, n): how many messages of each type have come when an order had its last message.
 

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from tagstream.functions import fields as fx
 from tagstream.functions import sql as sql_functions
-from tagstream.operators import enrich, extract, groups, lifecycle, reassembly, redact, validate
+from tagstream.operators import enrich, extract, groups, lifecycle, reassembly, redact, render, validate
 from tagstream.operators.shared import materialize, work_path
 from tagstream.plans import builtin, synth
 from tagstream.plans.synth import DUCK, SPARK
 from tagstream.sources.dictionary import Registry, buckets, sensitive_tags
-from tagstream.streaming import follow
+from tagstream.streaming import follow, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -545,6 +545,90 @@ def stream_orders(spark, d):
     return follow.run_orders(spark, _followed(spark, d, synth.events_sql(SPARK), "events")).select("order_key", "n_messages", "last_seq")
 
 
+@query("SELECT concat('10.0.', o_orderkey) AS src, CAST(length(msg) AS BIGINT) AS n FROM (" + _ORDERS + ")")
+def stream_flows(spark, d):
+    path, out = work_path(spark, "segments"), work_path(spark, "flows")
+    p = materialize(packets(spark, d), "packets")
+    for low, high in ((0, 8), (8, 1 << 30)):  # two files, the later packets in the second
+        p.where(f"packet_index >= {low} and packet_index < {high}").coalesce(2).write.mode("append").parquet(f"{path}/{low:02d}")
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/*")
+    follow.drain(state.flow_messages(stream), "append", lambda q: q.format("parquet").option("path", out))
+    found = spark.read.schema(state.FLOWS).parquet(out)
+    return found.where("raw is not null").select("src", F.length("raw").cast("bigint").alias("n"))
+
+
+@query(
+    f"""WITH v AS (SELECT event_id, user_id, CASE WHEN event_type = 'signup' AND user_id % 12 <= 9 THEN {_VERSION.replace("'FIX40'", "'FIX40'")} END AS named FROM events)
+    SELECT event_id AS seq, last_value(named IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS session_default FROM v"""
+)
+def stream_session_defaults(spark, d):
+    path, out = work_path(spark, "session-log"), work_path(spark, "defaults")
+    m = synth.messages_of(synth.table(spark, d, synth.sessions_sql(SPARK), "events"), "s", "event_id").select("seq", "raw")
+    m.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("seq bigint, raw string").parquet(path).withColumn("fields", fx.fields(F.col("raw")))
+    follow.drain(state.session_defaults(stream), "append", lambda q: q.format("parquet").option("path", out))
+    found = spark.read.schema("seq bigint, raw string, session_default string").parquet(out)
+    key = enrich.existing_key(F.col("session_default"), Registry())
+    return found.select("seq", F.when(F.col("session_default").isNotNull(), key).alias("session_default"))
+
+
+@query(f"SELECT concat('ACC', o_custkey) AS value, printf('Account%04d', n) AS alias FROM ({_ACCOUNTS})")
+def stream_aliases(spark, d):
+    path, out = work_path(spark, "fields"), work_path(spark, "aliases")
+    m = orders_messages(spark, d).select("source", "seq", F.explode("fields").alias("f")).select("source", "seq", "f.tag", "f.value")
+    m.join(sensitive_tags(spark, Registry()), "tag").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("tag bigint, source string, seq bigint, value string, name string").parquet(path)
+    follow.drain(state.aliases(stream), "append", lambda q: q.format("parquet").option("path", out))
+    return spark.read.schema("source string, tag bigint, value string, alias string").parquet(out).where("tag = 1").select("value", "alias")
+
+
+# -- rendering and browsing
+
+
+@query("SELECT s_suppkey AS seq, CAST(CASE WHEN s_suppkey % 6 = 0 THEN 3 ELSE 4 END AS BIGINT) AS n_entries, '  PartyIDs 1' AS first_heading, printf('    %4d (%s): %s', 448, 'PartyID', concat('S', s_suppkey)) AS first_party FROM supplier")
+def render_groups(spark, d):
+    registry = Registry()
+    lines = render.rendered_lines(party_messages(spark, d, registry), registry)
+    entry = F.when(F.col("kind") == "entry", F.col("text"))
+    party = F.when(F.col("text").like("%448 (PartyID)%"), F.col("text"))
+    return lines.groupBy("seq").agg(F.count(entry).alias("n_entries"), F.min_by(entry, F.when(entry.isNotNull(), F.col("ord"))).alias("first_heading"), F.min_by(party, F.when(party.isNotNull(), F.col("ord"))).alias("first_party"))
+
+
+@query("SELECT o_orderkey AS seq, '  54  required tag 54 missing' AS text FROM orders WHERE o_orderkey % 11 = 0")
+def render_missing_tags(spark, d):
+    m, registry = corrupt_orders(spark, d)
+    return render.rendered_lines(m, registry, validate.violations(m, registry)).where("kind = 'missing'").select("seq", "text")
+
+
+@query("SELECT o_orderkey AS seq, concat_ws(' ', '8 9 35 49 56 34 52 11 1 21 55', CASE WHEN o_orderkey % 11 <> 0 THEN '54' END, '60 38 40 44', CASE WHEN o_orderkey % 23 = 0 THEN '59 59' ELSE '59' END, CASE WHEN o_orderkey % 31 = 0 THEN '9999' END, '10') AS tags FROM orders")
+def canonical_order(spark, d):
+    m, registry = corrupt_orders(spark, d)
+    return render.canonical_fields(m, registry).select("seq", F.array_join(F.transform("canonical", lambda f: f["tag"].cast("string")), " ").alias("tags"))
+
+
+@query("SELECT * FROM (VALUES (1, 'TestReqID', 112, true)) AS t(depth, name, tag, required)")
+def message_tree(spark, d):
+    return render.message_tree(spark, Registry(), "FIX44", "TestRequest", envelope=False).select("depth", "name", F.col("tag").cast("int").alias("tag"), "required")
+
+
+@query("SELECT * FROM (VALUES ('FIX42', 0, 9, 16, false), ('FIX44', 0, 9, 16, true), ('FIXT11', 0, 2, 7, false)) AS t(dict_key, zero, n_components, n_messages, selected)")
+def dictionary_overview(spark, d):
+    df = render.dictionary_overview(spark, Registry(), "FIX44").where("dict_key in ('FIX42', 'FIX44', 'FIXT11')")
+    return df.select("dict_key", F.lit(0).alias("zero"), F.col("n_components").cast("int").alias("n_components"), F.col("n_messages").cast("int").alias("n_messages"), "selected")
+
+
+@query("SELECT b.bucket, b.msg_type, b.name FROM (VALUES ('Session/Admin', '0', 'Heartbeat'), ('Session/Admin', '1', 'TestRequest'), ('Session/Admin', '2', 'ResendRequest'), ('Session/Admin', '3', 'Reject'), ('Session/Admin', '4', 'SequenceReset'), ('Session/Admin', '5', 'Logout'), ('Session/Admin', 'A', 'Logon')) AS b(bucket, msg_type, name)")
+def messages_by_bucket(spark, d):
+    m = Registry().table(spark, "message", ["FIXT11"]).withColumn("is_admin", F.col("category") == "admin")
+    return enrich.with_bucket(m).select("bucket", "msg_type", "name")
+
+
+@query(f"SELECT concat('ORD', user_id) AS order_key, CAST(row_number() OVER (ORDER BY max(event_id), concat('ORD', user_id)) AS INTEGER) AS place, count(*) AS n FROM events GROUP BY user_id")
+def paged_sections(spark, d):
+    records = lifecycle.order_records(keyed_events(spark, d))
+    return lifecycle.paged(records).select("order_key", "place", F.col("n_messages").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["order_summary"](spark, sf_dir)
 

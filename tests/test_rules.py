@@ -40,7 +40,7 @@ def test_clean_and_faulty_messages(spark):
     )
     assert got[0] == []
     assert ("msg_type", 35) in got[1]
-    assert got[2] == [("msg_type", 35)]
+    assert got[2] == [("enum", 35), ("msg_type", 35)]
     assert got[3] == [("required", 54)]
     assert got[4] == [("unknown_tag", 77777)]
     assert got[5] == [("enum", 40), ("type", 38)]
