@@ -7,49 +7,23 @@ makes the same rows, so nothing depends on arrival order.
 from __future__ import annotations
 
 import ctypes
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagstream.operators.shared import connected_components, materialize, shared_dir, work_path  # noqa: F401  the operators take them from here
+
 #: Returns free memory to the system, where the C library can.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset (tests on one machine) a folder of our own is set.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file:/tmp/checkpoints/tagstream"
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new, unused folder for one table below the shared folder."""
-    return f"{shared_dir(spark)}/tagstream/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = path or work_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def local_path(path: str) -> str:
     """The file-system path of a `file:` URI or plain path, for memory mapping; others are refused."""
     if path.startswith("file:"):
@@ -88,6 +62,9 @@ def bounded_sample(rows: DataFrame, group: str, per_group: int, key: str) -> Dat
     spread = 1 << 30
     share = F.least(F.lit(1.0), F.lit(2.0 * per_group + 100) / F.col("_n"))
     cuts = rows.groupBy(group).agg(F.count("*").alias("_n")).select(F.col(group).alias("_group"), (share * spread).alias("_cut"))
+    cuts = materialize(cuts, "cuts")
+    if cuts.count() <= 1 << 16:
+        cuts = F.broadcast(cuts)  # then no row is shuffled before the cut
     near = rows.join(cuts, rows[group] == F.col("_group")).where(F.pmod(F.xxhash64(key), F.lit(spread)) < F.col("_cut")).select(*rows.columns)
     order = Window.partitionBy(group).orderBy(F.xxhash64(key), key, *[c for c in rows.columns if c not in (group, key)])
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_group)
@@ -111,10 +88,25 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return offsets, flat.dictionary_encode()
 
 
+#: An odd multiplier; words longer than this many bytes are hashed one by one.
+_BASE, _LONG = 0x9DDFEA08EB382D69, 256
+
+
 def word_hashes(words: pa.DictionaryArray) -> np.ndarray:
-    """A 64-bit hash of each word, hashing each distinct word once."""
-    distinct = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(words.dictionary))
-    return distinct[np.asarray(words.indices)] if len(words) else np.zeros(0, np.uint64)
+    """A 64-bit hash of each word, hashing each distinct word once: a polynomial over its bytes, finalised."""
+    n = len(words.dictionary)
+    if not n or not len(words):
+        return np.zeros(len(words), np.uint64)
+    d = words.dictionary.cast(pa.large_binary())
+    ends = np.frombuffer(d.buffers()[1], np.int64)[d.offset : d.offset + n + 1]
+    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+    data = np.frombuffer(d.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    powers = np.multiply.accumulate(np.full(_LONG, np.uint64(_BASE)))
+    place = np.minimum(np.arange(len(data)) - np.repeat(starts, lengths), _LONG - 1)
+    distinct = mix64(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[place], starts) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        distinct[i] = xxhash.xxh3_64_intdigest(d[i].as_buffer())
+    return distinct[np.asarray(words.indices)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -182,38 +174,3 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                     yield out
 
     return df.mapInArrow(tidy(run), schema)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph: (node, component), component = smallest node.
-
-    edges: long columns a, b (any order, loops and repeats allowed). Nodes without an edge don't appear.
-    Alternates large-star and small-star steps; every step is an aggregation and an equi-join whose
-    hot side can be split, and each round's edges are written to the shared folder. The driver sees
-    only one count a round.
-    """
-    spark = edges.sparkSession
-    e = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    for _ in range(max_rounds):
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("m", "a").alias("m"))
-        large = both.join(low, F.col("a") == F.col("v")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = large.join(least.select(F.col("a").alias("v"), "m"), F.col("a") == F.col("v"))
-        nxt = materialize(small.select(F.col("b").alias("x"), "m").where("x <> m").union(least.select("a", "m")).distinct().toDF("a", "b"), "cc")
-        # a star forest: every edge goes to a root that has no smaller neighbour, and each node has one edge
-        stats = nxt.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d")).first()
-        roots = nxt.select(F.col("a").alias("r")).join(nxt.select(F.col("b").alias("r")), "r", "left_semi").limit(1).count() if stats.n == stats.d else 1
-        e = nxt
-        if not roots:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-def is_mounted(path: str) -> bool:
-    try:
-        return os.path.isdir(local_path(path))
-    except ValueError:
-        return False

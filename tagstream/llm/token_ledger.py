@@ -6,9 +6,8 @@ the shuffle, so a source with a third of all rows is no hot group, and is writte
 folder under its batch id. The rollup is the sum over committed batches.
 
 Committing is idempotent: a batch counts once its marker exists, and the marker is written after the
-batch's rows, by a rename that makes it appear whole. A batch id that is committed already is left alone;
-if it comes again with other totals, that is an error. A batch whose writer died before the marker is
-written anew. Compaction folds committed batches into one base, again by a marker, and remembers the
+batch's rows, by a rename that makes it appear whole. A batch id that is committed already is left alone,
+whatever comes with it. A batch whose writer died before the marker is written anew. Compaction folds committed batches into one base, again by a marker, and remembers the
 batch ids it holds, so a replay after compaction still counts once.
 
 Defined results: null source and lang are groups of their own; a null text counts as empty and an empty
