@@ -4,7 +4,8 @@ A document's set holds the distinct k-word shingles of its text. Two sets link w
 100 * |x & y| >= percent * |x | y|. The result is exact up to 64-bit hashes of shingles and sets.
 
 1. Equal sets are one class; classes, not documents, are joined.
-2. Of each set the smallest hashes go out, about twice as many as may be missing from a partner.
+2. Of each set the smallest hashes go out, about twice as many as may be missing from a partner, and enough
+   for every size that a partner can have.
    A set fewer of whose hashes another set holds than a partner must share has no partner. Hashes
    that repeat in a batch are settled there and leave one row, so a frequent shingle isn't a hot key.
 3. The surviving sets are ordered globally: shingles by how many surviving sets hold them, rarest
@@ -26,6 +27,7 @@ no other id; rows repeating an id are compared each by its own text; an empty ta
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,16 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+@lru_cache(1 << 16)
+def sent(n: int, percent: int) -> int:
+    """How many of its smallest hashes a set of n sends, so that of any two partners either sees as many of its own
+    held by the other as it needs. With o common hashes, the first j common ones are among the first j + n - o."""
+    need = lambda m: np.minimum(m, 2 * (m - -(-percent * m // 100)) + 1) - (m - -(-percent * m // 100))
+    partners = np.arange(-(-percent * n // 100), 100 * n // percent + 1)
+    common = -(-percent * (n + partners) // (100 + percent))
+    return int(min(n, max(2 * (n - least_overlap(n, percent)) + 1, (np.maximum(need(partners), need(np.int64(n))) + n - common).max())))
+
+
 def _profiles(k: int) -> Callable:
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -81,8 +93,7 @@ def _samples(k: int, percent: int) -> Callable:
             seen: dict[int, np.ndarray] = {}
             for s in hashed_sets(batch.column("text"), k):
                 if len(s) and (c := class_id(s)) not in seen:
-                    spare = len(s) - least_overlap(len(s), percent)
-                    seen[c] = s[: 2 * spare + 1]
+                    seen[c] = s[: sent(len(s), percent)]
             if not seen:
                 return None
             classes = np.fromiter(seen, np.int64, len(seen))
@@ -262,7 +273,7 @@ def class_links(docs: DataFrame, profiles: DataFrame, k: int, percent: int, lead
     seen = rows.withColumn("other", F.min("class").over(token) != F.max("class").over(token))
     score = F.when(F.col("settled") >= 0, F.col("settled")).when(F.col("other"), 1).otherwise(0)
     counted = seen.where("class >= 0").withColumn("score", score).where("score > 0 or settled >= 0").groupBy("class").agg(F.sum("score").alias("shared"), F.sum(F.when(F.col("settled") >= 0, 1).otherwise(0)).alias("copies"))
-    some = F.least(F.col("n"), 2 * spare + 1) - spare  # of the smallest hashes, at most `spare` may be missing
+    some = F.least(F.col("n"), 2 * spare + 1) - spare  # of the first 2 * spare + 1, at most `spare` may be missing; partners send enough to show the rest
     alive = materialize(classes.join(counted, "class").where(F.col("shared") >= some * F.col("copies")).select("class", "n", "rep"), "survivors")
 
     # 3. the survivors' sets, in global order

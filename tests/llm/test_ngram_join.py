@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tagstream.llm.ngram_join import Trie, jaccard_components, trie_links
+from tagstream.llm.ngram_join import Trie, jaccard_components, least_overlap, sent, trie_links
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,3 +87,23 @@ def test_trie_finds_all_partners():
             assert set(trie.partners(set(s), n[i], alive)) == want
         links = trie_links(list(range(len(sets))), list(range(len(sets))), n, own, sets, percent)
         assert len(links) < len(sets)
+
+
+def test_short_texts_that_lack_a_word(spark):
+    rows = []
+    for i in range(12):
+        words = [f"v{i}x{j}" for j in range(10)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[1:] if i % 2 else words[:-1]))]
+    assert got(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_partners_of_all_sizes_send_enough(percent):
+    for n in range(1, 90):
+        spare = n - least_overlap(n, percent)
+        need = min(n, 2 * spare + 1) - spare
+        for m in range(least_overlap(n, percent), 100 * n // percent + 1):
+            for common in range(1, min(n, m) + 1):
+                if 100 * common >= percent * (n + m - common):
+                    # the worst order: all that either has alone comes first
+                    assert min(common, sent(n, percent) - (n - common), sent(m, percent) - (m - common)) >= need
