@@ -86,3 +86,21 @@ def test_no_labels_and_far_texts(spark):
     model = langid.fit(spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string"))
     far = spark.createDataFrame([(1, "漢字仮名交じり文 " * 40), (2, rows[0][1] or "the house and the tree")], "doc_id long, text string")
     assert [r.lang_rejected for r in langid.identify(far, model).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_near_copies_by_row(spark):
+    text = lambda i, n=40: " ".join(f"t{i}w{j}" for j in range(n))
+    rows = [(1, text(1)), (None, text(1) + " end"), (None, text(2)), (None, text(3))]  # a null id near a document's, and two of their own
+    rows += [(None, text(4)), (None, text(4) + " end"), (None, text(4) + " stop")]  # no id at all
+    rows += [(5, text(5)), (5, text(5) + " end")]  # one id, near copies
+    rows += [(6, text(6)), (7, text(6) + " end"), (7, text(7))]  # one id, of which one row is a near copy
+    rows += [(8, None), (None, ""), (None, "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.near(spark, docs, "")
+    assert out.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    for must in ((1, text(1)), (None, text(2)), (None, text(3)), (6, text(6)), (7, text(7)), (8, None), (None, ""), (None, "!")):
+        assert left.count(must) == 1
+    assert sum((t or "").startswith(text(4)) for _, t in left) == 1
+    assert sum((t or "").startswith(text(5)) for _, t in left) == 1
+    assert len(left) == 10
