@@ -3,7 +3,7 @@
 Every input partition is a memtable: it is reduced to its digests, sorted, and flushed as one
 sorted run of level 0, a Parquet file whose digest column carries a Bloom filter. Compaction merges
 the runs of level 0 with the current level 1 to one entry a digest: which row stays, how many rows
-there are. A probe touches only files whose min/max statistics and filters admit a digest. Every
+there are. Nothing reads the filters yet: hits come from joining back by digest. Every
 digest that more than one row has is verified by bytes: the least and the greatest normalised text
 of the digest must be identical; where they differ, the rows are grouped by the text itself.
 
