@@ -27,7 +27,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(documents(spark, sf_dir), k=5, least_words=50, percent=80, hashes=6)
+    return passages.repeated_passages(documents(spark, sf_dir), k=5, least_words=50, percent=80, hashes=5)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
