@@ -5,9 +5,11 @@ Words are runs of ASCII digits and letters (A-Z lower-cased) and of non-ASCII ch
 each as its words between single blanks, form the automaton; a text, normalised alike, is scanned once,
 and every occurrence maps back to words and, through `spans`, to character offsets of the original.
 
-The automaton is built once a Python worker from the broadcast windows. Windows are dealt over as many
-automata as keep each under `block_chars` characters; each is scanned against all rows, in blocks, and
-what they find is added up, so neither the broadcast nor a worker's memory grows past that bound.
+The automaton is built once a Python worker from the broadcast windows and kept for its later tasks. Windows are
+dealt over as many automata as keep each under `block_chars` characters, about 45 bytes of memory each (4,000,000:
+under 200 MB a worker). A benchmark of up to that size, whose windows' texts count, is one automaton, and texts are
+scanned once; each further one is scanned against all rows, and what they find is added up, so neither the broadcast
+nor a worker's memory grows past that bound.
 
 Defined results: null texts and texts without words have no words, no hits and no items. Items without
 words or with a null id or text match nothing. Items that share a window are all counted. Repeated
@@ -16,6 +18,7 @@ documents are scanned each; an empty benchmark leaves all documents clean. Extra
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -76,6 +79,17 @@ class Matcher:
         return [(int(j) - n + 1, int(j) + 1) for j, (_, n) in zip(last, ends, strict=True)], items
 
 
+_BUILT: dict[str, Matcher] = {}
+
+
+def matcher_of(key: str, found) -> Matcher:
+    """The automaton of a block's broadcast windows, built once a worker, which keeps the last one."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Matcher(found.value)
+    return _BUILT[key]
+
+
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching ranges as one, in order."""
     out: list[list[int]] = []
@@ -118,10 +132,10 @@ def blocks(benchmark: DataFrame, size: int, block_chars: int) -> Iterator[dict[s
 
 def _scan(docs: DataFrame, found: dict[str, set]) -> DataFrame:
     """doc_id, text's word count, merged word ranges, their character spans and the items of one block."""
-    shared = docs.sparkSession.sparkContext.broadcast(found)  # at most block_chars and one item more
+    shared, key = docs.sparkSession.sparkContext.broadcast(found), uuid.uuid4().hex  # at most block_chars and one item more
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matcher = matcher_of(key, shared)
         for batch in batches:
             for a, b in slices(batch, 1):
                 part = batch.slice(a, b - a)
@@ -147,7 +161,7 @@ def merge_pairs(c: Column) -> Column:
     return F.when(F.size(c) == 0, empty).otherwise(F.aggregate(pairs, empty, step))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = 64_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = 4_000_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated.
 
     docs: doc_id long, text string. benchmark: item_id, text. `spans` has the hit characters' offsets
@@ -173,14 +187,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_c
     return out.select(F.col("row_id").alias("doc_id"), "n_words", lengths.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("ranges") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = 64_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text holds no window of the benchmark. No shuffle."""
 
     def clean(found: dict[str, set], at: int):
-        shared = docs.sparkSession.sparkContext.broadcast(found)
+        shared, key = docs.sparkSession.sparkContext.broadcast(found), uuid.uuid4().hex
 
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+            matcher = matcher_of(key, shared)
             for batch in batches:
                 for a, b in slices(batch, at):
                     part = batch.slice(a, b - a)

@@ -135,14 +135,15 @@ def _cluster(idf: np.ndarray, clusters: int, few: int) -> Callable[[tuple, pa.Ta
     return f
 
 
-def fit(labelled: DataFrame, per_lang: int = 300, clusters: int = 4, margin: float = 0.5, few: int = 20) -> LanguageModel | None:
+def fit(labelled: DataFrame, per_lang: int = 300, clusters: int = 4, margin: float = 0.5, few: int = 20, most_langs: int = 256) -> LanguageModel | None:
     """Learn from `labelled` (doc_id, text, lang); None when no row has a language and a letter.
 
-    What reaches the driver is bounded by the number of languages: one idf vector, and `clusters`
-    centroids and a few bounds for each language.
+    The `most_langs` values of lang that most rows have are learned, so that dirty tags don't swell the model. What
+    reaches the driver is bounded by them: one idf vector, and `clusters` centroids and a few bounds for each language.
     """
     rows = require(labelled, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    sample = bounded_sample(rows, "lang", per_lang, "doc_id")
+    langs = labelled.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(most_langs)
+    sample = bounded_sample(rows.join(F.broadcast(langs.select("lang")), "lang", "left_semi"), "lang", per_lang, "doc_id")
     vectors = materialize(sample.select("lang", "text").mapInArrow(tidy(_vectors), "lang string, slots array<int>, values array<float>"), "vectors")
     total = vectors.count()
     if not total:

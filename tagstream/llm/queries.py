@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagstream.llm import decontam, exact_dedup, kneser_ney, langid, line_dedup, ngram_join, packing, passages, quality, token_ledger
-from tagstream.llm.common import third, work_path
+from tagstream.llm.common import materialize, third, work_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +40,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents come under one tokenizer version, and are revised to have a second one beside it."""
-    docs = documents(spark, sf_dir)
-    versions = {name: (lambda name=name: packing.ByteBpe(name, fast_only=True).encode) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    """All documents arrive before their language is known, and are revised when it is; a draft of all of them comes
+    and goes. A replay changes nothing, before and after compaction. What is left are the counts of all documents
+    by source, language and tokenizer version."""
+    versions = {"byte_bpe_50k": lambda: packing.ByteBpe("byte_bpe_50k").encode, "byte_bpe_multi_50k": lambda: packing.ByteBpe("byte_bpe_multi_50k", fast_only=True).encode}
+    counts = materialize(token_ledger.count_tokens(documents(spark, sf_dir), versions), "counts")
+    unknown = counts.withColumn("lang", F.lit(None).cast("string"))
+    draft = unknown.withColumn("tokenizer", F.concat("tokenizer", F.lit("-draft")))
     ledger = token_ledger.Ledger(spark, work_path(spark, "ledger"))
-    counts = token_ledger.count_tokens(docs, versions)
-    ledger.commit("load", token_ledger.insert(counts))
-    ledger.commit("load", token_ledger.insert(counts))  # a replay changes nothing
+    ledger.commit("arrive", token_ledger.insert(unknown))
+    ledger.commit("draft", token_ledger.insert(draft))
+    ledger.commit("arrive", token_ledger.insert(unknown))
+    ledger.compact()
+    ledger.commit("labelled", token_ledger.revise(unknown, counts))
+    ledger.commit("withdrawn", token_ledger.delete(draft))
+    ledger.commit("arrive", token_ledger.insert(unknown))
     ledger.compact()
     return ledger.rollup()
 

@@ -7,8 +7,9 @@ folder under its batch id. The rollup is the sum over committed batches.
 
 Committing is idempotent: a batch counts once its marker exists, and the marker is written after the
 batch's rows, by a rename that makes it appear whole. A batch id that is committed already is left alone,
-whatever comes with it. A batch whose writer died before the marker is written anew. Compaction folds committed batches into one base, again by a marker, and remembers the
-batch ids it holds, so a replay after compaction still counts once.
+whatever comes with it. A batch whose writer died before the marker is written anew. Compaction folds
+committed batches into one base, again by a marker, and keeps their ids in a table, so a replay after compaction still
+counts once.
 
 Defined results: null source and lang are groups of their own; a null text counts as empty and an empty
 text as one document of no tokens; groups whose totals are all zero leave the rollup; repeated rows count
@@ -106,21 +107,28 @@ class Ledger:
         if not fs.rename(tmp, to):
             raise RuntimeError(f"another writer committed {name}")
 
-    def _live(self) -> tuple[list[dict], set[str]]:
-        """The markers whose rows count, and all batch ids they hold: the latest base and what it lacks."""
+    def _live(self) -> list[dict]:
+        """The markers whose rows count: the latest base, and the batches that it doesn't hold."""
         markers = self._markers()
-        bases = [m for m in markers if m["kind"] == "base"]
-        base = max(bases, key=lambda m: m["number"], default=None)
-        held = set(base["batches"]) if base else set()
-        live = ([base] if base else []) + [m for m in markers if m["kind"] == "batch" and m["batch"] not in held]
-        return live, held | {m["batch"] for m in markers if m["kind"] == "batch"}
+        base = max((m for m in markers if m["kind"] == "base"), key=lambda m: m["number"], default=None)
+        batches = [m for m in markers if m["kind"] == "batch"]
+        held = self._held(base, [m["batch"] for m in batches])
+        return ([base] if base else []) + [m for m in batches if m["batch"] not in held]
+
+    def _held(self, base: dict | None, names: list[str]) -> set[str]:
+        """Those of the batch ids that the base holds, from its table of ids."""
+        if not base or not names:
+            return set()
+        ids = self.spark.read.schema("batch string").parquet(base["batches"])
+        return {r["batch"] for r in ids.where(F.col("batch").isin(names)).collect()}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add signed rows (source, lang, tokenizer, n_docs, n_tokens, n_chars) once; False if they are in already."""
         if not batch_id.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id has letters, digits, - and _ only")
-        known = next((m for m in self._markers() if m["kind"] == "batch" and m["batch"] == batch_id), None)
-        if known or batch_id in self._live()[1]:
+        fs, path = self._fs()
+        base = max((m for m in self._markers() if m["kind"] == "base"), key=lambda m: m["number"], default=None)
+        if fs.exists(path(f"{self.path}/commits/batch-{batch_id}.json")) or self._held(base, [batch_id]):
             return False
         where = f"{self.path}/deltas/batch={batch_id}"
         reduced = changes.select(*KEYS, *TOTALS).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS]).where(nonzero())
@@ -130,18 +138,28 @@ class Ledger:
 
     def rollup(self) -> DataFrame:
         """Totals by source, lang and tokenizer over all committed batches."""
-        live, _ = self._live()
+        live = self._live()
         if not live:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*[m["path"] for m in live])
         return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS]).where(nonzero())
 
     def compact(self) -> None:
-        """Fold all committed batches into a new base; the old rows stay readable until they are removed."""
-        live, batches = self._live()
-        if not live:
+        """Fold all committed batches into a new base with a table of their ids. Their markers go, so that there are as
+        many as batches since the last compaction; a writer that dies before they are gone leaves them without effect."""
+        live = self._live()
+        fresh = [m["batch"] for m in live if m["kind"] == "batch"]
+        if not fresh:
             return
-        number = 1 + max((m["number"] for m in live if m["kind"] == "base"), default=0)
+        base = next((m for m in live if m["kind"] == "base"), None)
+        number = 1 + (base["number"] if base else 0)
         where = f"{self.path}/base/v={number}"
         self.rollup().write.mode("overwrite").parquet(where)
-        self._mark(f"base-{number}", {"kind": "base", "number": number, "path": where, "batches": sorted(batches)})
+        ids = self.spark.createDataFrame([(b,) for b in fresh], "batch string")
+        if base:
+            ids = ids.unionByName(self.spark.read.schema("batch string").parquet(base["batches"]))
+        ids.write.mode("overwrite").parquet(f"{self.path}/held/v={number}")
+        self._mark(f"base-{number}", {"kind": "base", "number": number, "path": where, "batches": f"{self.path}/held/v={number}"})
+        fs, path = self._fs()
+        for name in [f"batch-{b}" for b in fresh] + ([f"base-{base['number']}"] if base else []):
+            fs.delete(path(f"{self.path}/commits/{name}.json"), False)

@@ -14,8 +14,8 @@ def shingles(text, k=4):
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
-def brute(rows, percent=85):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent=85, k=4):
+    sets = [shingles(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):

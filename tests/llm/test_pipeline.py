@@ -45,7 +45,7 @@ def test_like_brute_force(spark, tmp_path):
         last[norm(t)] = max(i, last.get(norm(t), i))
     left = {i: t for i, t in left.items() if last[norm(t)] == i}
     assert steps[1] == left
-    stays = {c for _, _, c in components(list(left.items()))}
+    stays = {c for _, _, c in components(list(left.items()), percent=80, k=5)}
     left = {i: t for i, t in left.items() if i in stays}
     assert steps[2] == left
     windows = decontam.windows([i for i in items], 10)

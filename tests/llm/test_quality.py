@@ -38,3 +38,30 @@ def test_no_or_one_class(spark):
     ones = d.select("doc_id", F.lit(1).alias("quality"))
     assert {r.score for r in quality.score(d, quality.fit(d, ones)).collect()} == {1.0}
     assert quality.score(d.limit(0), quality.fit(d, empty)).count() == 0
+
+
+def test_scores_like_brute_force(spark):
+    """Sizes under dictionaries made by plain calls, the logistic curve written out, and a tie at one half."""
+    import math
+
+    import zstandard
+
+    docs, labels = corpus(120, 2)
+    d = spark.createDataFrame([*docs, (500, "river " * 60_000), (501, "x"), (502, None)], "doc_id long, text string")
+    model = quality.fit(d.where("doc_id < 120"), spark.createDataFrame(labels, "doc_id long, quality long"))
+    texts = {r.doc_id: r.text for r in d.collect()}
+    size = lambda b, dic: len(zstandard.ZstdCompressor(level=3, **({"dict_data": zstandard.ZstdCompressionDict(dic)} if dic else {})).compress(b))
+    assert len(model.halves) == 2
+    for r in quality.score(d, model).collect():
+        raw, odds = (texts[r.doc_id] or "").encode(), []
+        for half in model.halves if raw else ():
+            total = [0, 0, 0]
+            for at in range(0, len(raw), model.block_bytes):
+                for i, dic in enumerate((half.good, half.bad, b"")):
+                    total[i] += max(1, size(raw[at : at + model.block_bytes], dic) - size(b"", dic))
+            z = [1.0, 10 * (total[1] - total[0]) / total[2], 20 * (total[1] - total[0]) / len(raw)]
+            odds.append(sum(a * b for a, b in zip(z, half.weights, strict=True)))
+        want = 1 / (1 + math.exp(-sum(odds) / 2)) if raw else model.share
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.5)
+    half = quality.QualityModel((quality.Half(b"", b"", (0.0, 0.0, 0.0)),), 0.5)
+    assert {(r.score, r.predicted) for r in quality.score(d.limit(3), half).collect()} == {(0.5, 1)}

@@ -72,3 +72,31 @@ def test_empty_batch_and_bad_id(spark):
     assert ledger.rollup().count() == 0
     with pytest.raises(ValueError):
         ledger.commit("../x", none)
+
+
+def test_query_counts_what_the_tokenizers_give(spark, tmp_path):
+    """op6 over a small table, special strings and clashing columns included, against the tokenizers themselves."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tagstream.llm.packing import ByteBpe
+    from tagstream.llm.queries import op6_token_counts
+
+    rows = [(1, "a <|endoftext|> b", "en", "s"), (2, "The house  and\n\nthe tree.", "en", "s"), (3, None, None, "s"), (4, "", "de", None), (5, "Straße über 1234567 日本", "de", "t"), (5, "Straße über 1234567 日本", "de", "t")]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, lang string, source string, n_tokens int, tokenizer string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    versions = {"byte_bpe_50k": lambda t: exact.encode(t, add_special_tokens=False).ids, "byte_bpe_multi_50k": ByteBpe("byte_bpe_multi_50k", fast_only=True).encode}
+    assert totals(op6_token_counts(spark, str(tmp_path))) == brute(rows, versions)
+
+
+def test_markers_stay_few(spark):
+    ledger = Ledger(spark, work_path(spark, "ledger"))
+    rows = insert(count_tokens(spark.createDataFrame([(1, "a b", "en", "s")], SCHEMA), {"w": lambda: str.split}))
+    for i in range(4):
+        assert ledger.commit(f"b{i}", rows)
+        ledger.compact()
+        assert len(ledger._markers()) == 1
+    assert not ledger.commit("b0", rows) and not ledger.commit("b3", rows)
+    ledger.compact()
+    assert totals(ledger.rollup()) == {("s", "en", "w"): (4, 8, 12)}
