@@ -2,7 +2,7 @@
 
 1. language_id: documents whose language is rejected (no text, no letter, too far from every centroid) go.
 2. exact_dedup: of equal texts, the row with the largest doc_id stays.
-3. near_dedup: of rows that shingle overlaps link, one with the smallest doc_id stays; null ids come last.
+3. near_dedup: of rows that link by five-word shingles alike in 0.8 or more, one with the smallest doc_id stays; null ids come last.
 4. decontamination: documents that hold a window of a benchmark item go.
 5. packing: what is left becomes sequences of at most 1024 tokens, one row a piece.
 
@@ -30,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows are told apart by a key of their own, written down first: ids can be null or repeat
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = ngram_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), k=4, percent=85)
+    groups = ngram_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
     groups = groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     linked = groups.join(groups.where("_row <> _group").select("_group").distinct(), "_group", "left_semi")
     named = materialize(linked.join(rows.select("_row", "doc_id"), "_row"), "linked")
