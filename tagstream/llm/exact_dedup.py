@@ -1,11 +1,15 @@
 """Exact deduplication by a log-structured merge index of text digests. DataFrame functions only.
 
 Every input partition is a memtable: it is reduced to its digests, sorted, and flushed as one
-sorted run of level 0, a Parquet file whose digest column carries a Bloom filter. Compaction merges
-the runs of level 0 with the current level 1 to one entry a digest: which row stays, how many rows
-there are. Nothing reads the filters yet: hits come from joining back by digest. Every
-digest that more than one row has is verified by bytes: the least and the greatest normalised text
-of the digest must be identical; where they differ, the rows are grouped by the text itself.
+sorted run of level 0, a Parquet file whose digest column has statistics and a Bloom filter. Compaction merges
+the runs of level 0 with the current level 1 to one entry a digest, which row stays and how many rows there
+are, in sorted files of disjoint ranges of digests. A probe for a batch of digests asks the files' statistics
+and filters, and only the row groups that may hold one are read. Every digest that more than one row has is
+verified by bytes: the least and the greatest normalised text of the digest must be identical; where they
+differ, the rows are grouped by the text itself.
+
+Over a whole table, `exact_groups` meets every digest of level 1 anyway, and joins them with the runs; probes are
+for batches that come later.
 
 Defined results: a null text counts as empty, empty texts are equal to each other, rows with equal
 texts and equal ids are all members of the group (and all are `kept` when theirs is the id that
@@ -109,6 +113,7 @@ class DigestIndex:
             for p in parts[1:]:
                 merged = merged.unionByName(p)
             merged = merged.groupBy("digest").agg(self.best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+            merged = merged.repartitionByRange("digest")  # runs of disjoint ranges, for their statistics
             to = f"{self.path}/level1/v={m['version']}"
             w = merged.sortWithinPartitions("digest").write.mode("overwrite")
             for k, v in RUN_OPTIONS.items():
@@ -117,6 +122,29 @@ class DigestIndex:
             self._commit(m | {"level0": [], "level1": to})
         return self.level1()
 
+    def probe(self, digests: DataFrame, most: int = 4096) -> DataFrame:
+        """(digest, keep_id, group_size) of those of the digests (column digest) that the index holds.
+
+        Up to `most` distinct digests go to the scan as literals, so that statistics and Bloom filters decide which row
+        groups are read (the setting for it is raised for the session). More are joined.
+        """
+        wanted = digests.select("digest").where("digest is not null").distinct()
+        literals = [bytes(r["digest"]) for r in wanted.limit(most + 1).collect()]
+        m = self.manifest()
+        parts = [self._read(p, "digest binary, doc_id long").select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")) for p in m["level0"]]
+        parts += [self.level1(m)] if m["level1"] else []
+        if not parts or not literals:
+            return self.spark.createDataFrame([], "digest binary, keep_id long, group_size long")
+        if len(literals) > most:
+            found = [p.join(wanted, "digest", "left_semi") for p in parts]
+        else:
+            self.spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(most))
+            found = [p.where(F.col("digest").isin(sorted(literals))) for p in parts]
+        both = found[0]
+        for p in found[1:]:
+            both = both.unionByName(p)
+        return both.groupBy("digest").agg(self.best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
     def level1(self, m: dict | None = None) -> DataFrame:
         m = m or self.manifest()
         if not m["level1"]:
@@ -161,9 +189,29 @@ def exact_groups(docs: DataFrame, keep: str = "max", index: DigestIndex | None =
 
 
 def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The documents that stay, with all their columns; of rows equal in id and text, one stays."""
+    """The documents that stay, with all their columns; of rows equal in id and text, one stays.
+
+    Texts that are alone in their bucket of digests aren't shuffled, nor are copies that go, but for those that share
+    a bucket of (id, digest) with one that stays. Sets of buckets are broadcast, at most BUCKETS rows each.
+    """
     names = docs.columns
-    stay = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    found = exact_groups(docs, keep).where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
+    copies = materialize(found.groupBy("_id", "_sha", "kept").agg(F.count("*").alias("_n")), "copies")
     keyed = docs.withColumn("_sha", F.sha2(normalise(F.col("text")).cast("binary"), 256)).withColumn("_id", F.col("doc_id"))
-    met = keyed.join(stay.select(F.struct(F.col("_id"), F.col("_sha")).alias("_key")), F.struct(keyed["_id"], keyed["_sha"]).eqNullSafe(F.col("_key")), "left_semi")
-    return met.dropDuplicates(["_id", "_sha"]).select(*names)
+    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS))
+    held = F.broadcast(copies.select(bucket("_sha").alias("_bucket")).distinct())
+    near = F.broadcast(copies.where("kept").select(bucket("_id", "_sha").alias("_near")).distinct())
+    alone = keyed.withColumn("_bucket", bucket("_sha")).join(held, "_bucket", "left_anti")
+    # a bucket can hold texts without copies too: those stay, whatever is in it. Found by digests, without their texts
+    shared = keyed.select("_sha").withColumn("_bucket", bucket("_sha")).join(held, "_bucket", "left_semi")
+    strays = materialize(shared.select("_sha").distinct().join(copies.select("_sha").distinct(), "_sha", "left_anti"), "strays")
+    other = F.broadcast(strays.select(bucket("_sha", F.lit(1)).alias("_other")).distinct())
+    single = keyed.withColumn("_other", bucket("_sha", F.lit(1))).join(other, "_other", "left_semi").join(strays, "_sha", "left_semi")
+    key = lambda c: F.struct(F.col("_id"), F.col("_sha")).alias(c)
+    may = keyed.withColumn("_near", bucket("_id", "_sha")).join(near, "_near", "left_semi").withColumn("_key", key("_key"))
+    once = may.join(copies.where("kept and _n = 1").select(key("_key")), "_key", "left_semi")
+    more = may.join(copies.where("kept and _n > 1").select(key("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    out = alone.select(*names)
+    for part in (single, once, more):
+        out = out.unionByName(part.select(*names))
+    return out
