@@ -12,8 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagstream.sources.dictionary import Group, Registry
@@ -152,25 +154,72 @@ def walk_groups(messages: DataFrame, registry: Registry, mode: str = VALIDATE, o
     return messages.select("seq", "dict_key", "msg_type", "fields").mapInArrow(f, STEPS)
 
 
-def group_entries(fields: Column, count_tag: int, delimiter: int, members: list[int]) -> Column:
-    """array<array<struct<pos, tag, value>>>: the entries of one flat group, in Catalyst alone.
+RULE_ROWS = "seq bigint, rule string, tag bigint, pos int, text string"
 
-    Entries begin at the delimiter and end before the next one or the first field that is no member. As many
-    as the count declares are taken.
+
+def walk_rules(messages: DataFrame, registry: Registry) -> DataFrame:
+    """(seq, rule, tag, pos, text): faults of groups and repeated tags, from one pass over each message's fields.
+
+    Known types (msg_name): a tag is repeated twice at the message level, or twice in one entry of a group. Other
+    types: twice anywhere, unless a group of some dictionary repeats it. Counted within the message; no shuffle.
     """
-    at = F.array_position(F.transform(fields, lambda f: f["tag"]), count_tag).cast("int")
-    rest = F.when(at > 0, F.slice(fields, at + 1, F.size(fields))).otherwise(F.slice(fields, 1, 0))
-    outside = F.array_position(F.transform(rest, lambda f: f["tag"].isin(*members)), False).cast("int")
-    run = F.when(outside > 0, F.slice(rest, F.lit(1), outside - 1)).otherwise(rest)
-    begins = F.filter(F.transform(run, lambda f, i: F.when(f["tag"] == delimiter, i + 1)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(run) + 1))
-    cuts = F.arrays_zip(begins.alias("b"), ends.alias("e"))
-    entries = F.transform(cuts, lambda c: F.slice(run, c["b"], c["e"] - c["b"]))
-    declared = F.coalesce(F.when(at > 0, F.try_element_at(fields, at)["value"].try_cast("int")), F.lit(0))
-    return F.when(F.size(begins) > 0, F.slice(entries, F.lit(1), F.least(declared, F.size(begins)))).otherwise(F.slice(entries, 1, 0))
+    specs = {(d.key, m.msg_type): (d.groups(m), {tag for tag, _ in d.order(m)}) for d in registry.known() for m in d.messages}
+    repeatable = {tag for found, _ in specs.values() for tag in [*_members(found), *found]}
+    shared = messages.sparkSession.sparkContext.broadcast((specs, repeatable))  # definitions
+
+    def faults(key: str, kind: str, known: bool, pos: list, tags: list, values: list) -> Iterator[tuple]:
+        specs, repeatable = shared.value
+        own, level = specs.get((key, kind), ({}, set()))
+        found = list(zip(tags, values, strict=True))
+        if own:
+            for s in Walker(found, own, level, VALIDATE).walk():
+                if s.rule is not None:
+                    yield s.rule, s.tag, pos[s.index], s.text
+        if known and own and not own.keys().isdisjoint(tags):
+            steps = [(s.path, s.index) for s in Walker(found, own, level, DUPLICATES).walk()]
+        elif len(set(tags)) == len(tags):
+            return
+        else:
+            steps = [((), i) for i in range(len(tags))]
+        seen = set()
+        for path, i in steps:
+            if (path, tags[i]) not in seen:
+                seen.add((path, tags[i]))
+            elif known or tags[i] not in repeatable:
+                yield "duplicate_tag", tags[i], pos[i], f"duplicate tag {tags[i]}"
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = zip(*((c.split()[0], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]]) for c in RULE_ROWS.split(", ")), strict=True)
+        for batch in batches:
+            found = batch.column(4).flatten()
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(4)), 0)))
+            pos, tags, values = (found.field(n).to_pylist() for n in ("pos", "tag", "value"))
+            rows, at = [], 0
+            for seq, key, kind, known, end in zip(*(batch.column(i).to_pylist() for i in range(4)), ends.tolist(), strict=True):
+                rows += [(seq, *x) for x in faults(key, kind, known, pos[at:end], tags[at:end], values[at:end])]
+                at = end
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+
+    return messages.select("seq", "dict_key", "msg_type", F.col("msg_name").isNotNull().alias("known"), "fields").mapInArrow(f, RULE_ROWS)
 
 
 def explode_flat_group(messages: DataFrame, count_tag: int, delimiter: int, members: list[int], *keys: str) -> DataFrame:
-    """(keys, entry, fields): one row an entry of a group without groups inside. No shuffle, no Python."""
-    df = messages.withColumn("_run", group_entries(F.col("fields"), count_tag, delimiter, members))
-    return df.select(*keys, F.posexplode("_run").alias("_i", "entry_fields")).select(*keys, (F.col("_i") + 1).alias("entry"), "entry_fields")
+    """(keys, entry, entry_fields): one row an entry of a group without groups inside. No shuffle, no Python.
+
+    Entries begin at the delimiter and end before the next one or the first field that is no member. As many as the
+    count declares are taken. Each step is a column of its own that later ones name several times, so the optimiser
+    keeps it apart and nothing is evaluated again for each entry.
+    """
+    begin_at = F.array_position(F.transform("fields", lambda f: f["tag"]), count_tag).cast("int")
+    df = messages.select(*keys, "fields", begin_at.alias("_at")).where("_at > 0")
+    declared = F.try_element_at("fields", F.col("_at"))["value"].try_cast("int")
+    df = df.select(*keys, F.slice("fields", F.col("_at") + 1, F.size("fields")).alias("_rest"), F.coalesce(declared, F.lit(0)).alias("_declared"))
+    df = df.withColumn("_outside", F.array_position(F.transform("_rest", lambda f: f["tag"].isin(*members)), False).cast("int"))
+    df = df.withColumn("_run", F.when(F.col("_outside") > 0, F.slice("_rest", F.lit(1), F.col("_outside") - 1)).otherwise(F.col("_rest")))
+    df = df.withColumn("_begins", F.filter(F.transform("_run", lambda f, i: F.when(f["tag"] == delimiter, i + 1)), lambda i: i.isNotNull()))
+    df = df.where((F.size("_begins") > 0) & (F.col("_declared") > 0))
+    df = df.withColumn("_ends", F.concat(F.slice("_begins", F.lit(2), F.size("_begins")), F.array(F.size("_run") + 1)))
+    cuts = F.slice(F.arrays_zip(F.col("_begins").alias("b"), F.col("_ends").alias("e")), F.lit(1), F.least("_declared", F.size("_begins")))
+    rows = df.select(*keys, "_run", F.posexplode(cuts).alias("_i", "_cut"))
+    return rows.select(*keys, (F.col("_i") + 1).alias("entry"), F.slice("_run", F.col("_cut.b"), F.col("_cut.e") - F.col("_cut.b")).alias("entry_fields"))

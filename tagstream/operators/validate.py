@@ -1,20 +1,21 @@
 """Validation: each rule gives rows (seq, ord, rule, tag, pos, text); a message without rows is clean.
 
 messages: seq, raw, fields, dict_key, fallback_key, fallback_role, msg_type, msg_name. Rules over single
-messages are expressions on the field array and need no shuffle; rules over dictionaries explode the fields
-and join dimension tables. `ord` is the rule's place in a report.
+messages are expressions on the field array, or a walk over it, and need no shuffle; rules over dictionaries explode
+the fields and join dimension tables. `ord` is the rule's place in a report.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagstream.functions import fields as fx
 from tagstream.operators import groups
-from tagstream.operators.enrich import dimension, enrich_fields
+from tagstream.operators.enrich import dimension, enrich_fields, small
+from tagstream.operators.shared import materialize
 from tagstream.sources.dictionary import Registry
 
 RULES = [
@@ -36,6 +37,7 @@ RULES = [
     "checksum",
 ]
 COLUMNS = ["seq", "ord", "rule", "tag", "pos", "text"]
+FAULT = "struct<ord:int,rule:string,tag:bigint,pos:int,text:string>"
 
 
 def violation(rule: str | Column, tag: Column | int | None, pos: Column | None, text: Column | str) -> list[Column]:
@@ -46,20 +48,32 @@ def violation(rule: str | Column, tag: Column | int | None, pos: Column | None,
     return [order.cast("int").alias("ord"), name.alias("rule"), tag.cast("bigint").alias("tag"), (F.lit(None) if pos is None else pos).cast("int").alias("pos"), (F.lit(text) if isinstance(text, str) else text).alias("text")]
 
 
-def message_type(messages: DataFrame) -> DataFrame:
-    missing, unknown = F.col("msg_type").isNull(), F.col("msg_name").isNull()
-    text = F.when(missing, "message type missing").otherwise(F.concat(F.lit("unknown message type "), F.col("msg_type")))
-    return messages.where(missing | unknown).select("seq", *violation("msg_type", 35, None, text))
-
+def _when(condition: Column, rule: str, tag: Column | int, pos: Column | None, text: Column | str) -> Column:
+    return F.when(condition, F.struct(*violation(rule, tag, pos, text)))
 
-def body_length(messages: DataFrame) -> DataFrame:
-    error = fx.body_length_error(F.col("raw"), F.col("fields"))
-    return messages.withColumn("_e", error).where("_e is not null").select("seq", *violation("body_length", 9, None, F.col("_e")))
 
+def message_rules(messages: DataFrame, registry: Registry) -> DataFrame:
+    """Rules over one message, as one array of faults: its type, its length and checksum, the tags of the message
+    level that its type requires, and known tags whose place in the type's order is before that of the known tag in
+    front of them (fields inside groups have no place of their own)."""
+    dim = dimension(messages, registry, "order").select(F.col("dict_key").alias("_k"), F.col("msg_type").alias("_t"), "tag", "ord", "required")
+    need, place = F.collect_list(F.when(F.col("required"), F.col("tag"))), F.map_from_entries(F.collect_list(F.struct("tag", "ord")))
+    lists = small(dim.groupBy("_k", "_t").agg(need.alias("_need"), place.alias("_place")), sum(len(d.messages) for d in registry.known()))  # a type's definition
+    df = messages.join(lists, (F.col("dict_key") == F.col("_k")) & (F.col("msg_type") == F.col("_t")), "left")
+    df = df.withColumn("_tags", F.transform("fields", lambda f: f["tag"]))
+    placed = F.filter(F.transform("fields", lambda f: F.struct(f["pos"].alias("pos"), f["tag"].alias("tag"), F.col("_place")[f["tag"]].alias("ord"))), lambda f: f["ord"].isNotNull())
+    df = df.withColumn("_known", F.when(F.col("_place").isNotNull(), placed))
 
-def checksum(messages: DataFrame) -> DataFrame:
-    error = fx.checksum_error(F.col("raw"), F.col("fields"))
-    return messages.withColumn("_e", error).where("_e is not null").select("seq", *violation("checksum", 10, None, F.col("_e")))
+    missing, unknown = F.col("msg_type").isNull(), F.col("msg_name").isNull()
+    kind = _when(missing | unknown, "msg_type", 35, None, F.when(missing, "message type missing").otherwise(F.concat(F.lit("unknown message type "), F.col("msg_type"))))
+    error = lambda e, rule, tag: F.transform(F.array(e), lambda x: _when(x.isNotNull(), rule, tag, None, x))  # noqa: E731  named once, evaluated once
+    errors = [error(fx.body_length_error(F.col("raw"), F.col("fields")), "body_length", 9), error(fx.checksum_error(F.col("raw"), F.col("fields")), "checksum", 10)]
+    gone = F.transform(F.array_except("_need", "_tags"), lambda t: F.struct(*violation("required", t, None, F.concat(F.lit("required tag "), t.cast("string"), F.lit(" missing")))))
+    wrong = F.transform("_known", lambda f, i: _when((i > 0) & (f["ord"] < F.get("_known", i - 1)["ord"]), "out_of_order", f["tag"], f["pos"], F.concat(F.lit("tag "), f["tag"].cast("string"), F.lit(" out of order"))))
+    none = F.array().cast(f"array<{FAULT}>")
+    parts = [F.coalesce(p.cast(f"array<{FAULT}>"), none) for p in (F.array(kind), *errors, gone, wrong)]
+    found = F.filter(F.concat(*parts), lambda v: v.isNotNull())
+    return df.select("seq", F.explode(found).alias("v")).select("seq", "v.*")
 
 
 def _enriched(messages: DataFrame, registry: Registry) -> DataFrame:
@@ -82,62 +96,19 @@ def field_rules(messages: DataFrame, registry: Registry) -> DataFrame:
     return e.select("seq", F.explode(F.filter(found, lambda v: v.isNotNull())).alias("v")).select("seq", "v.*")
 
 
-def required(messages: DataFrame, registry: Registry) -> DataFrame:
-    """Required tags of the message level that the message lacks: the list of a type less the tags present."""
-    dim = dimension(messages, registry, "order").where("required")
-    lists = dim.groupBy(F.col("dict_key").alias("_k"), F.col("msg_type").alias("_t")).agg(F.collect_list("tag").alias("_need"))  # a type's definition
-    df = messages.join(F.broadcast(lists), (F.col("dict_key") == F.col("_k")) & (F.col("msg_type") == F.col("_t")))
-    gone = F.array_except("_need", F.transform("fields", lambda f: f["tag"]))
-    rows = df.select("seq", F.explode(gone).alias("_tag"))
-    return rows.select("seq", *violation("required", F.col("_tag"), None, F.concat(F.lit("required tag "), F.col("_tag").cast("string"), F.lit(" missing"))))
+def walked_rules(messages: DataFrame, registry: Registry) -> DataFrame:
+    """Faults of groups, tags outside their group, and repeated tags."""
+    return groups.walk_rules(messages, registry).select("seq", *violation(F.col("rule"), F.col("tag"), F.col("pos"), F.col("text")))
 
 
-def out_of_order(messages: DataFrame, registry: Registry) -> DataFrame:
-    """Known tags whose place in the type's order is before that of the known tag in front of them.
+def violations(messages: DataFrame, registry: Registry) -> DataFrame:
+    """All rules' rows, in no order.
 
-    Fields inside groups have no place of their own; a window over one message's fields finds the one in
-    front, as an expression on its array.
+    The messages are written to the shared folder, so that each of the three passes reads them tokenised and resolved.
     """
-    dim = dimension(messages, registry, "order")
-    lists = dim.groupBy(F.col("dict_key").alias("_k"), F.col("msg_type").alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct("tag", "ord"))).alias("_place"))
-    df = messages.join(F.broadcast(lists), (F.col("dict_key") == F.col("_k")) & (F.col("msg_type") == F.col("_t")))
-    known = df.withColumn("_known", F.filter(F.transform("fields", lambda f: F.struct(f["pos"].alias("pos"), f["tag"].alias("tag"), F.col("_place")[f["tag"]].alias("ord"))), lambda f: f["ord"].isNotNull()))
-    wrong = F.filter(F.transform("_known", lambda f, i: F.when((i > 0) & (f["ord"] < F.get("_known", i - 1)["ord"]), f)), lambda f: f.isNotNull())
-    rows = known.select("seq", F.explode(wrong).alias("f"))
-    return rows.select("seq", *violation("out_of_order", F.col("f.tag"), F.col("f.pos"), F.concat(F.lit("tag "), F.col("f.tag").cast("string"), F.lit(" out of order"))))
-
-
-def group_rules(messages: DataFrame, registry: Registry) -> DataFrame:
-    """Faults of groups, and tags outside their group."""
-    steps = groups.walk_groups(messages, registry, groups.VALIDATE).where("rule is not null")
-    return steps.select("seq", *violation(F.col("rule"), F.col("rule_tag"), F.col("pos"), F.col("text")))
-
-
-def duplicate_tags(messages: DataFrame, registry: Registry) -> DataFrame:
-    """Known types: a tag twice at the message level, or twice in one entry of a group. Other types: a tag
-    twice that no group of the dictionary repeats."""
-    steps = groups.walk_groups(messages.where("msg_name is not null"), registry, groups.DUPLICATES)
-    nth = F.row_number().over(Window.partitionBy("seq", "path", "tag").orderBy("pos"))
-    known = steps.withColumn("_n", nth).where("_n > 1").select("seq", "tag", "pos")
-    repeatable = {tag for d in registry.known() for m in d.messages for tag in groups._members(d.groups(m))} | {c for d in registry.known() for m in d.messages for c in d.groups(m)}
-    rows = messages.where("msg_name is null").select("seq", F.explode("fields").alias("f")).select("seq", "f.pos", "f.tag")
-    other = rows.withColumn("_n", F.row_number().over(Window.partitionBy("seq", "tag").orderBy("pos"))).where("_n > 1")
-    other = other.where(~F.col("tag").isin(*sorted(repeatable))) if repeatable else other
-    return known.unionByName(other.select("seq", "tag", "pos")).select("seq", *violation("duplicate_tag", F.col("tag"), F.col("pos"), F.concat(F.lit("duplicate tag "), F.col("tag").cast("string"))))
-
-
-def violations(messages: DataFrame, registry: Registry) -> DataFrame:
-    """All rules' rows, in no order."""
-    parts = [
-        message_type(messages),
-        duplicate_tags(messages, registry),
-        body_length(messages),
-        field_rules(messages, registry),
-        required(messages, registry),
-        out_of_order(messages, registry),
-        group_rules(messages, registry),
-        checksum(messages),
-    ]
+    names = ["seq", "raw", "fields", "dict_key", "fallback_key", "fallback_role", "msg_type", "msg_name"]
+    messages = materialize(messages.select(*names), "messages")
+    parts = [message_rules(messages, registry), field_rules(messages, registry), walked_rules(messages, registry)]
     return reduce(DataFrame.unionByName, (p.select(*COLUMNS) for p in parts))
 
 

@@ -326,7 +326,7 @@ def group_explode(spark, d):
 def group_count_mismatch(spark, d):
     registry = Registry()
     m = enrich.with_message_type(enrich.resolve(allocation_messages(spark, d), registry), registry)
-    return validate.group_rules(m, registry).where("rule = 'group_count_mismatch'").select("seq", "tag", "text")
+    return validate.walked_rules(m, registry).where("rule = 'group_count_mismatch'").select("seq", "tag", "text")
 
 
 def _nested(rows: list[tuple[str, int, str, str]]) -> str:
