@@ -42,7 +42,8 @@ def with_session_default(messages: DataFrame, scope: str = "run") -> DataFrame:
     As-of, backward and strict. Only messages of the session protocol take part in the window; others get
     null by themselves. `scope` is "run" or "source": whether sessions go on across sources.
     """
-    session = fx.first_value(F.col("fields"), 8) == "FIXT.1.1"
+    begin = fx.raw_value(F.col("raw"), 8) if "raw" in messages.columns else fx.first_value(F.col("fields"), 8)  # without tokenising twice
+    session = begin == "FIXT.1.1"
     named = version_of(fx.first_value(F.col("fields"), 1137))
     keys = [F.col("source")] if scope == "source" else []
     w = Window.partitionBy(*keys, "_session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,9 +55,16 @@ def with_session_default(messages: DataFrame, scope: str = "run") -> DataFrame:
 
 def detected_key(found: Column, session_default: Column) -> Column:
     """The dictionary that a message names itself, before it is known whether there is such a one."""
-    begin = fx.first_value(found, 8)
+    return _named_key(*[fx.first_value(found, tag) for tag in NAMING], session_default)
+
+
+#: Fields that name a message's dictionary: BeginString, ApplVerID, DefaultApplVerID.
+NAMING = (8, 1128, 1137)
+
+
+def _named_key(begin: Column, appl: Column, default: Column, session_default: Column) -> Column:
     plain = F.replace(begin, F.lit("."), F.lit(""))
-    app = F.coalesce(version_of(fx.first_value(found, 1128)), version_of(fx.first_value(found, 1137)), session_default, F.lit("FIX50"))
+    app = F.coalesce(version_of(appl), version_of(default), session_default, F.lit("FIX50"))
     return F.when(begin.isNull(), "FIX44").when(begin == "FIXT.1.1", app).otherwise(plain)
 
 
@@ -75,13 +83,16 @@ def resolve(messages: DataFrame, registry: Registry, override: str | None = None
     dictionary is warned of in the registry and ignored.
     """
     df = messages if "session_default" in messages.columns else with_session_default(messages, scope)
-    detected = existing_key(detected_key(F.col("fields"), F.col("session_default")), registry)
+    # each step names the one before it several times, so the optimiser keeps them apart and evaluates each once
+    df = df.withColumns({f"_{tag}": fx.first_value(F.col("fields"), tag) for tag in NAMING})
+    df = df.withColumn("_named", _named_key(*[F.col(f"_{tag}") for tag in NAMING], F.col("session_default")))
+    detected = existing_key(F.col("_named"), registry)
     chosen = normal_key(override) if override else None
     if chosen is not None and builtin.ALIASES.get(chosen, chosen) not in registry.dictionaries:
         registry.warnings.append(f"no dictionary {chosen}; the detected one is used")
         chosen = None
     chosen = builtin.ALIASES.get(chosen, chosen)
-    df = df.withColumn("detected_key", detected).withColumn("dict_key", F.lit(chosen) if chosen else F.col("detected_key"))
+    df = df.withColumn("detected_key", detected).drop("_named", *[f"_{tag}" for tag in NAMING]).withColumn("dict_key", F.lit(chosen) if chosen else F.col("detected_key"))
     session = fx.label(builtin.SESSION_FALLBACK, F.col("dict_key"))
     other = F.when(F.col("dict_key") != F.col("detected_key"), F.col("detected_key"))
     return df.withColumn("fallback_key", F.coalesce(other, session)).withColumn("fallback_role", F.when(other.isNotNull(), "DetectedOverride").when(session.isNotNull(), "Session"))
