@@ -116,7 +116,7 @@ def _logs(o: argparse.Namespace, spark, registry: Registry, paths: list[str]) ->
     elif o.command == "counts":
         yield from _rows(enrich.count_report(enrich.count_messages(enrich.with_bucket(m))).select("bucket", "msg_type", "name", "n"))
     else:
-        yield from _rows(lifecycle.summary_rows(lifecycle.report_order(lifecycle.order_records(lifecycle.resolve_identity(lifecycle.events(m))))))
+        yield from _rows(lifecycle.summary_rows(lifecycle.report_order(lifecycle.order_records(lifecycle.resolve_identity(lifecycle.events(m, registry))))))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -121,6 +121,16 @@ def enrich_fields(fields: DataFrame, registry: Registry) -> DataFrame:
     )
 
 
+def with_description(df: DataFrame, registry: Registry, tag: int, code: str, name: str) -> DataFrame:
+    """`df` (dict_key, fallback_key, the column `code`) and `name`: what the dictionary says of that code of `tag`, else
+    null. As in `enrich_fields`, the fallback is asked where the primary lists no codes for the tag."""
+    listing = [d.key for d in registry.known() if any(row[1] == tag for row in registry._enum(d))]
+    e = dimension(df, registry, "enum").where(F.col("tag") == tag)
+    e = e.select(F.col("dict_key").alias("_dk"), F.col("code").alias("_dc"), F.col("description").alias(name))
+    key = F.when(F.col("dict_key").isin(*listing), F.col("dict_key")).otherwise(F.col("fallback_key"))
+    return df.withColumn("_key", key).join(e, (F.col("_key") == F.col("_dk")) & (F.col(code) == F.col("_dc")), "left").drop("_key", "_dk", "_dc")
+
+
 def render_fields(enriched: DataFrame) -> DataFrame:
     """Enriched field rows and text: `tag (Name): value (DESCRIPTION)`, the tag to the right of four places."""
     described = F.when(F.col("description").isNotNull(), F.format_string(" (%s)", "description")).otherwise("")

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagstream.functions import fields as fx
+from tagstream.operators import enrich
 from tagstream.operators.shared import connected_components, materialize
+from tagstream.sources.dictionary import Registry
 
 #: Name and tag of the values an event carries.
 TAGS = {
@@ -45,18 +47,24 @@ TAGS = {
     "exec_ack": 1036,
     "text": 58,
 }
+#: Column, value and tag of the codes that a report spells out as their dictionary does.
+DESCRIBED = {"msg_desc": ("msg_type", 35), "ord_type_desc": ("ord_type", 40), "tif_desc": ("time_in_force", 59)}
 IDS = ["order_id", "cl_ord_id", "orig_cl_ord_id"]
 #: What tells two events of one order apart, beside the reason.
 FINGERPRINT = ["event_time", "msg_type", "exec_type", "ord_status", "state", "exec_ack", "cum_qty", "leaves_qty", "last_qty", "last_px", "avg_px", "text", "cl_ord_id", "orig_cl_ord_id"]
 
 
-def events(messages: DataFrame) -> DataFrame:
+def events(messages: DataFrame, registry: Registry | None = None) -> DataFrame:
     """A row a message that isn't administrative: seq, msg_type, the values of TAGS (last one wins), event_time
-    (60, else 52), state, reason."""
+    (60, else 52), state, reason, and the columns of DESCRIBED: by the message's dictionary with a registry, else null."""
     m = messages.where(~F.col("is_admin"))
     reason = F.col("reason") if "reason" in messages.columns else F.lit(None).cast("string")
-    df = m.select("seq", "msg_type", reason.alias("reason"), fx.tag_map(F.col("fields")).alias("_m"))
-    df = df.select("seq", "msg_type", "reason", *[F.col("_m")[F.lit(t).cast("bigint")].alias(n) for n, t in TAGS.items()])
+    keys = ["dict_key", "fallback_key"] if registry else []
+    df = m.select("seq", "msg_type", *keys, reason.alias("reason"), fx.tag_map(F.col("fields")).alias("_m"))
+    df = df.select("seq", "msg_type", *keys, "reason", *[F.col("_m")[F.lit(t).cast("bigint")].alias(n) for n, t in TAGS.items()])
+    for name, (code, tag) in DESCRIBED.items():
+        df = enrich.with_description(df, registry, tag, code, name) if registry else df.withColumn(name, F.lit(None).cast("string"))
+    df = df.drop(*keys)
     notice = F.col("msg_type") == "BN"
     return (
         df.withColumn("event_time", F.coalesce("transact_time", "sending_time"))
@@ -64,7 +72,6 @@ def events(messages: DataFrame) -> DataFrame:
         .withColumn("spot", F.coalesce(F.when(notice, F.col("last_px")), F.col("spot")))
         .withColumn("exec_amount", F.when(notice, F.col("order_qty")))
         .withColumn("trade", F.coalesce(F.col("trade_date"), fx.date_part(F.col("transact_time")), F.col("transact_time")))
-        .withColumn("settle", F.coalesce("settl_date2", "settl_date"))
     )
 
 
@@ -123,12 +130,13 @@ def _first(name: str) -> Column:
     return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
 
 
-ATTRIBUTES = [n for n in TAGS if n not in (*IDS, "transact_time", "sending_time", "trade_date", "settl_date", "settl_date2", "text")] + ["exec_amount", "trade", "settle"]
+ATTRIBUTES = [n for n in TAGS if n not in (*IDS, "transact_time", "sending_time", "trade_date", "text")] + ["exec_amount", "trade", "ord_type_desc", "tif_desc"]
 
 
 def order_attributes(keyed: DataFrame) -> DataFrame:
-    """A row an order: the first of each id, the last of each attribute, n_messages, first_seq, last_seq, has_notice."""
-    return keyed.groupBy("order_key").agg(
+    """A row an order: the first of each id, the last of each attribute, n_messages, first_seq, last_seq, has_notice, and
+    settle: the last of 193, where there is one, else of 64."""
+    df = keyed.groupBy("order_key").agg(
         *[_first(n) for n in IDS],
         *[_last(n) for n in ATTRIBUTES],
         F.count("*").alias("n_messages"),
@@ -136,6 +144,7 @@ def order_attributes(keyed: DataFrame) -> DataFrame:
         F.max("seq").alias("last_seq"),
         F.max(F.col("msg_type") == "BN").alias("has_notice"),
     )
+    return df.withColumn("settle", F.coalesce("settl_date2", "settl_date"))
 
 
 def _when(order: Column | None = None) -> list[Column]:
@@ -177,14 +186,20 @@ def summary_rows(records: DataFrame) -> DataFrame:
     return records.select(
         "display_id",
         "flow",
-        fx.side_label(F.col("side")).alias("side"),
+        F.when(F.col("side").isNotNull(), F.upper(fx.side_label(F.col("side")))).alias("side"),
         "symbol",
         "order_qty",
         "cum_qty",
         "leaves_qty",
         fx.price_with_currency(F.col("price"), F.col("currency")).alias("price"),
         "avg_px",
+        F.col("trade").alias("trade_date"),
+        days.alias("days"),
         fx.tenor(days).alias("tenor"),
+        F.upper("tif_desc").alias("time_in_force"),
+        F.upper("ord_type_desc").alias("ord_type"),
+        F.when(F.col("settl_date2").isNotNull(), "SettlDate2").when(F.col("settl_date").isNotNull(), "SettlDate").otherwise("ValueDate").alias("settle_name"),
+        "settle",
         F.when(F.col("has_notice"), F.col("spot")).alias("spot"),
         F.when(F.col("has_notice"), F.col("exec_amount")).alias("exec_amount"),
         "is_terminal",
@@ -193,11 +208,38 @@ def summary_rows(records: DataFrame) -> DataFrame:
 
 
 def timeline(keyed: DataFrame) -> DataFrame:
-    """(order_key, place, event_time, cell, state, text) of each event."""
+    """(order_key, place, event_time, cell, exec_type, ord_status, exec_ack, cum_leaves, last, avg_px, state, text) of each event.
+
+    The cell is the message type's description, its code where there is none, and the ids. Codes have their labels, or
+    themselves where they have none; what is missing is a dash.
+    """
+    dash = lambda name: F.coalesce(F.col(name), F.lit("-"))
+    labelled = lambda labels, name: fx.label(labels, F.col(name), dash(name)).alias(name)
     ids = F.array_join(F.array("cl_ord_id", "orig_cl_ord_id"), ",")
-    cell = F.concat(F.col("msg_type"), F.when(ids != "", F.format_string(" [%s]", ids)).otherwise(""))
+    cell = F.concat(F.coalesce(F.col("msg_desc"), dash("msg_type")), F.when(ids != "", F.format_string(" [%s]", ids)).otherwise(""))
     invalid = F.concat(F.lit("Invalid: "), F.col("reason"))
-    return ordered_events(keyed).select("order_key", "place", "event_time", cell.alias("cell"), "state", F.array_join(F.array("text", invalid), " | ").alias("text"))
+    return ordered_events(keyed).select(
+        "order_key",
+        "place",
+        "event_time",
+        cell.alias("cell"),
+        labelled(fx.EXEC_TYPE, "exec_type"),
+        labelled(fx.ORDER_STATUS, "ord_status"),
+        labelled(fx.EXEC_ACK, "exec_ack"),
+        F.concat_ws("/", dash("cum_qty"), dash("leaves_qty")).alias("cum_leaves"),
+        F.concat_ws("@", dash("last_qty"), dash("last_px")).alias("last"),
+        dash("avg_px").alias("avg_px"),
+        "state",
+        F.array_join(F.array("text", invalid), " | ").alias("text"),
+    )
+
+
+def raw_messages(keyed: DataFrame, records: DataFrame, messages: DataFrame, delimiter: str = fx.SOH) -> DataFrame:
+    """(order_key, place, seq, is_invalid, text): the messages of completed orders without repeats, in the order of
+    their events, with the display delimiter. messages: seq, raw."""
+    done = records.where("is_terminal").select("order_key")
+    places = ordered_events(keyed.join(done, "order_key", "left_semi")).select("order_key", "place", "seq", F.col("reason").isNotNull().alias("is_invalid"))
+    return places.join(messages.select("seq", fx.shown(F.col("raw"), delimiter).alias("text")), "seq").select("order_key", "place", "seq", "is_invalid", "text")
 
 
 def report_order(records: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def event_messages(spark: SparkSession, d: str) -> DataFrame:
 def keyed_events(spark: SparkSession, d: str) -> DataFrame:
     registry = Registry()
     m = enrich.with_message_type(enrich.resolve(event_messages(spark, d), registry), registry)
-    return lifecycle.single_id(lifecycle.events(m))
+    return lifecycle.single_id(lifecycle.events(m, registry))
 
 
 def allocation_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -445,10 +445,13 @@ def order_totals(spark, d):
     return lifecycle.order_totals(lifecycle.order_records(keyed_events(spark, d)))
 
 
-@query(f"SELECT concat('ORD', user_id) AS display_id, flow, CASE user_id % 2 WHEN 0 THEN 'Buy' ELSE 'Sell' END AS side, concat('SYM', user_id % 5) AS symbol, {_TERMINAL} AS is_terminal FROM ({_FLOWS})")
+@query(
+    f"""SELECT concat('ORD', user_id) AS display_id, flow, CASE user_id % 2 WHEN 0 THEN 'BUY' ELSE 'SELL' END AS side, concat('SYM', user_id % 5) AS symbol, trade_date, 'ValueDate' AS settle_name, {_TERMINAL} AS is_terminal
+    FROM ({_FLOWS}) JOIN (SELECT user_id, strftime(arg_max(ts, event_id), '%Y%m%d') AS trade_date FROM events GROUP BY user_id) USING (user_id)"""
+)
 def order_summary(spark, d):
     rows = lifecycle.summary_rows(lifecycle.report_order(lifecycle.order_records(keyed_events(spark, d))))
-    return rows.select("display_id", "flow", "side", "symbol", "is_terminal")
+    return rows.select("display_id", "flow", "side", "symbol", "trade_date", "settle_name", "is_terminal")
 
 
 @query("SELECT count(*) AS n_events, CAST(count(DISTINCT user_id) AS BIGINT) AS n_orders FROM events")
@@ -459,11 +462,26 @@ def event_dedupe(spark, d):
     return kept.agg(F.count("*").alias("n_events"), F.countDistinct("order_key").alias("n_orders"))
 
 
-@query(f"SELECT concat('ORD', user_id) AS order_key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS INTEGER) AS place, t AS event_time, concat({_KIND}, ' [C', user_id, ']') AS cell, state, '' AS text FROM ({_EVENTS})")
+_PLACE = "CAST(row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS INTEGER) AS place"
+
+
+@query(
+    f"""SELECT concat('ORD', user_id) AS order_key, {_PLACE}, t AS event_time, concat(CASE event_type WHEN 'signup' THEN 'NEW_ORDER_SINGLE' ELSE 'EXECUTION_REPORT' END, ' [C', user_id, ']') AS cell,
+    coalesce(nullif(state, 'Unknown'), '-') AS exec_type, coalesce(nullif(state, 'Unknown'), '-') AS ord_status, '-' AS exec_ack,
+    concat(CASE WHEN event_type IN ('view', 'purchase') THEN CAST(event_id % 100 AS VARCHAR) ELSE '-' END, '/', CASE WHEN event_type = 'view' THEN CAST(event_id % 10 + 1 AS VARCHAR) ELSE '-' END) AS cum_leaves,
+    '-@-' AS last, '-' AS avg_px, state, '' AS text FROM ({_EVENTS})"""
+)
 def order_timeline(spark, d):
     return lifecycle.timeline(keyed_events(spark, d))
 
 
+@query(f"SELECT concat('ORD', user_id) AS order_key, place, event_id AS seq, md5(replace(msg, chr(1), '|')) AS md5 FROM (SELECT user_id, event_id, {_PLACE} FROM ({_EVENTS})) JOIN (SELECT event_id, msg FROM ({synth.events_sql(DUCK)})) USING (event_id) JOIN (SELECT user_id FROM ({_FLOWS}) WHERE {_TERMINAL}) USING (user_id)")
+def order_raw_messages(spark, d):
+    keyed = keyed_events(spark, d)
+    found = lifecycle.raw_messages(keyed, lifecycle.order_records(keyed), event_messages(spark, d), "|")
+    return found.select("order_key", "place", "seq", F.md5("text").alias("md5"))
+
+
 @query("SELECT o_orderkey AS seq, concat('C', o_custkey, '-1') AS order_key FROM orders")
 def order_identity_chain(spark, d):
     numbered = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders"

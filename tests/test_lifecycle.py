@@ -123,6 +123,29 @@ def test_timeline_and_sections(spark):
     assert order == ["q", "a"]
 
 
+def test_report_with_descriptions(spark):
+    registry = Registry()
+    raws = [
+        message("35=D|49=A|56=B|11=c|40=2|59=1|54=5|60=20240102-10:00:00"),
+        message("35=8|49=B|56=A|37=o|11=c|40=Z|193=20240104|64=20240109|150=F|39=1|32=5|31=1.5|14=5|151=7|6=1.5|60=20240102-10:00:01"),
+        message("35=ZZ|49=B|56=A|37=o|64=20240110|39=2|1036=1|150=z|60=20240102-10:00:02"),
+        message("35=D|49=A|56=B|11=open|60=20240102-10:00:00"),
+    ]
+    df = extract.with_fields(spark.createDataFrame([(i, "s", i, 0, r) for i, r in enumerate([*raws, raws[1]], 1)], "seq bigint, source string, line_no bigint, msg_idx int, raw string"))
+    m = enrich.with_message_type(enrich.resolve(df, registry), registry)
+    keyed = lifecycle.resolve_identity(lifecycle.events(m, registry))
+    records = lifecycle.order_records(keyed)
+    s = {r.display_id: r for r in lifecycle.summary_rows(records).collect()}
+    assert (s["o"].side, s["o"].ord_type, s["o"].time_in_force, s["o"].trade_date) == ("SELLSHORT", "LIMIT", "GOOD_TILL_CANCEL", "20240102")
+    assert (s["o"].settle_name, s["o"].settle, s["o"].days, s["o"].tenor) == ("SettlDate2", "20240104", 2, "SPOT")
+    assert (s["open"].side, s["open"].settle_name, s["open"].settle, s["open"].is_terminal) == (None, "ValueDate", None, False)
+    t = lifecycle.timeline(keyed).where("order_key = 'c'").orderBy("place").collect()
+    assert [r.cell for r in t] == ["NEW_ORDER_SINGLE [c]", "EXECUTION_REPORT [c]", "ZZ"]
+    assert [(r.exec_type, r.ord_status, r.exec_ack, r.cum_leaves, r["last"], r.avg_px) for r in t] == [("-", "-", "-", "-/-", "-@-", "-"), ("Trade", "Partially Filled", "-", "5/7", "5@1.5", "1.5"), ("z", "Filled", "Accepted", "-/-", "-@-", "-")]
+    shown = lifecycle.raw_messages(keyed, records, m, "|").orderBy("order_key", "place").collect()
+    assert [(r.order_key, r.seq, r.text) for r in shown] == [("c", i, raws[i - 1].replace(fx.SOH, "|")) for i in (1, 2, 3)]
+
+
 def test_nothing_to_do(spark):
     none = events_of(spark, message("35=0"))
     assert lifecycle.resolve_identity(none).count() == 0
