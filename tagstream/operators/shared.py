@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (one machine) a folder of our own."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own on one machine, an error on a cluster."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:/tmp/checkpoints/tagstream"
         sc.setCheckpointDir(base)
     return base.rstrip("/")
