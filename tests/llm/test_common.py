@@ -1,4 +1,8 @@
+import glob
+import os
 import re
+import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -52,3 +56,18 @@ def test_bounded_sample(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "a").otherwise("b").alias("g"))
     got = common.bounded_sample(rows, "g", 300, "doc_id").groupBy("g").count().collect()
     assert {r.g: r["count"] for r in got} == {"a": 300, "b": 300}
+
+
+def test_tables_leave_no_shuffle_files_and_go_when_done(spark):
+    stored = lambda: {p for d in glob.glob(f"{tempfile.gettempdir()}/blockmgr-*") for p in glob.glob(f"{d}/*/shuffle_*.data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = stored(), spark.conf.get(key)
+    table = common.materialize(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.sum("id").alias("s")), "sums")
+    assert spark.conf.get(key) == setting
+    end = time.time() + 10
+    while stored() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not stored() - before and table.count() == 1000
+    folder = os.path.dirname(common.local_path(table.inputFiles()[0]))
+    common.discard(table)
+    assert not os.path.exists(folder)
